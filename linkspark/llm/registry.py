@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkspark.llm.near_duplicates import near_duplicates
 from linkspark.llm.set_pairs import expand_pairs, normal_items, similar_sets
 from linkspark.sources.tables import table
 
@@ -14,7 +15,12 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return expand_pairs(links, members).select(F.col("id_a").alias("page_id_a"), F.col("id_b").alias("page_id_b"))
 
 
-QUERIES = {"p6_found": p6_found}
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    links, members = near_duplicates(table(spark, sf, "page"), "page_id", "text", threshold=0.7)
+    return expand_pairs(links.select("a", "b"), members).select(F.col("id_a").alias("page_id_a"), F.col("id_b").alias("page_id_b"))
+
+
+QUERIES = {"p2_found": p2_found, "p6_found": p6_found}
 
 SQL = {
     "p6_found": r"""
