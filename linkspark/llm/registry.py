@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkspark.llm.contamination import leaked_items
 from linkspark.llm.near_duplicates import near_duplicates
 from linkspark.llm.set_pairs import expand_pairs, normal_items, similar_sets
 from linkspark.sources.tables import table
@@ -20,7 +21,11 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return expand_pairs(links.select("a", "b"), members).select(F.col("id_a").alias("page_id_a"), F.col("id_b").alias("page_id_b"))
 
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found}
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_items(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_item"), "item_id", ["prompt", "answer"]).select("doc_id", "item_id")
+
+
+QUERIES = {"p2_found": p2_found, "p7_found": p7_found, "p6_found": p6_found}
 
 SQL = {
     "p6_found": r"""
