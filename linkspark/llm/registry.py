@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkspark.llm.contamination import leaked_items
 from linkspark.llm.near_duplicates import near_duplicates
+from linkspark.llm.sentences import sentence_units
 from linkspark.llm.set_pairs import expand_pairs, normal_items, similar_sets
 from linkspark.sources.tables import table
 
@@ -25,7 +26,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_item"), "item_id", ["prompt", "answer"]).select("doc_id", "item_id")
 
 
-QUERIES = {"p2_found": p2_found, "p7_found": p7_found, "p6_found": p6_found}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentence_units(table(spark, sf, "documents"), "doc_id", "text", "msg_start", "msg_end").withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p9_found": p9_found, "p7_found": p7_found, "p6_found": p6_found}
 
 SQL = {
     "p6_found": r"""
