@@ -4,7 +4,7 @@ A message is cut into blocks at blank lines and blocks into list items.  In the
 remaining paragraphs full stops that end nothing (decimals, urls, initials,
 abbreviations, ordinals before months, all but the last mark inside quotations
 and brackets) are masked by one private-use character each, so lengths stay; the
-masked text is split by zero-width terminator rules for each script, and each
+masked text is split by terminator rules for each script, and each
 unit is restored as the same span of the original text.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MASK = ""
+MASK, BREAK = "\ue000", "\ue001"
 #: Abbreviations that never end a sentence, by language.
 ABBREVIATIONS = (
     "Dr Prof Mr Mrs Ms St Gen Lt Col Sgt Capt Rev Hon Figs figs Fig fig Eq eq Sec sec Chap chap vs approx ca Ca cf Cf resp incl viz pp Vol vol Nos "
@@ -29,6 +29,9 @@ ABBREVIATIONS = (
 TWO_PART = "z B|d h|u a|p ex|p ej|т е|т к|e g|i e|o ä|s o"
 #: Abbreviations that only go before a number.
 BEFORE_NUMBER = "No no Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec l ll p S art г т с"
+#: Abbreviations that may end a sentence: they don't where a word of CONTINUES follows.
+OPEN = "etc usw ecc enz Co Inc Ltd Corp Jr Sr Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec"
+CONTINUES = "and or but in now for of to at by on is are were with than then und oder et ou y e ed en и или но"
 MONTHS = "Jan Feb Mär Apr Mai Jun Jul Aug Sep Okt Nov Dez"
 STOPS = ".!?…؟।॥"
 WIDE = "。！？｡"
@@ -68,38 +71,42 @@ def _straight(x: str) -> str:
     return f"if(contains({x}, '\"'), {made}, {x})"
 
 
-def masking_steps() -> list:
-    """SQL-to-SQL steps that mask the marks which end nothing; each keeps the length."""
+def masked_stops() -> str:
+    """One pattern of the full stops that end nothing.  It starts at the stop itself and
+    looks back, so a text is scanned for stops only."""
     word = r"(?<![\p{L}\p{N}\p{M}])"
-    single = "|".join(sorted(ABBREVIATIONS.split(), key=len, reverse=True))
-    steps = [
-        lambda x: f"if({x} RLIKE '://', array_join(transform(split({x}, '(?=\\\\s)|(?<=\\\\s)', -1), s -> if(contains(s, '://'), {_replace('s', r'[.!?](?=.*[^.!?])', MASK)}, s)), ''), {x})",
-        lambda x: _replace(x, r"(?<=\d)[.](?=\d)", MASK),
-        lambda x: _replace(x, rf"{word}({single})[.]", "$1" + MASK),
+    going = rf"(?=\s+(?:{'|'.join(CONTINUES.split())})(?![\p{{L}}\p{{N}}]))"
+    rules = [
+        r"(?<=\d[.])(?=\d)",
+        rf"(?<={word}(?:{'|'.join(ABBREVIATIONS.split())})[.])",
+        rf"(?=\s+\d)(?<={word}(?:{'|'.join(BEFORE_NUMBER.split())})[.])",
+        rf"(?=\s+(?:{'|'.join(MONTHS.split())}))(?<={word}\d{{1,2}}[.])",
+        r"(?=\s+\p{Lu})(?<=(?<![\p{L}\p{N}\p{M}.])\p{Lu}[.])",
+        rf"(?<={word}(?:ad\s{{1,9}}es|dott[.]ssa|sig[.]ra|d[.]w[.]z)[.])",
+        rf"{going}(?<={word}(?:{'|'.join(OPEN.split())})[.])",
+        rf"{going}(?<=[.\p{{L}}][.]\p{{L}}[.]|[.][.][.]|://[^\s]{{1,300}}[.])",
+        r"(?=\S)(?<=://[^\s]{1,300}[.])",
     ]
     for pair in TWO_PART.split("|"):
         a, b = pair.split()
-        steps.append(lambda x, a=a, b=b: _replace(x, rf"{word}({a})[.](\s*{b})[.]", f"$1{MASK}$2{MASK}"))
-    steps += [
-        lambda x: _replace(x, rf"{word}(ad\s+es|dott[.]ssa|sig[.]ra|d[.]w[.]z)[.]", "$1" + MASK),
-        lambda x: _replace(x, rf"{word}({'|'.join(BEFORE_NUMBER.split())})[.](?=\s+\d)", "$1" + MASK),
-        lambda x: _replace(x, rf"{word}(\d{{1,2}})[.](?=\s+(?:{'|'.join(MONTHS.split())}))", "$1" + MASK),
-        lambda x: _replace(x, r"(?<![\p{L}\p{N}\p{M}.])(\p{Lu})[.](?=\s+\p{Lu})", "$1" + MASK),
-        _straight,
-    ]
-    steps += [lambda x, p=p: _enclosed(x, p[0], p[1]) for p in PAIRS]
-    return steps
+        rules += [rf"(?=\s{{0,9}}{b}[.])(?<={word}{a}[.])", rf"(?<={word}{a}[.]\s{{0,9}}{b}[.])"]
+    return "[.](?:" + "|".join(rules) + ")"
+
+
+def masking_steps() -> list:
+    """SQL-to-SQL steps that mask the marks which end nothing; each keeps the length."""
+    return [lambda x: _replace(x, masked_stops(), MASK), _straight, *[lambda x, p=p: _enclosed(x, p[0], p[1]) for p in PAIRS]]
 
 
-def boundary_rule() -> str:
-    """The zero-width rule that splits a masked paragraph into units."""
+def boundary_rule() -> tuple[str, str]:
+    """Pattern and replacement that put a BREAK behind each unit of a masked paragraph."""
     # a statement's mark inside a closing quotation, then text of a script without cases: the sentence goes on
     goes_on = rf"(?<![.。｡][{QUOTES}]{{1,2}})"
-    spaced = rf"(?<=[{STOPS}][{CLOSERS}]{{0,3}}|[{STOPS}]\s[»›])(?![{CLOSERS}{STOPS}])(?=\s+[^\s\p{{Ll}}»›])(?:{goes_on}|(?!\s+\p{{Lo}}))"
-    wide = rf"(?<=[{WIDE}][{CLOSERS}]{{0,3}})(?![{CLOSERS}{WIDE}\s])(?![とっ、，])(?:{goes_on}|(?=\s))"
-    danda = rf"(?<=[।॥][{CLOSERS}]{{0,3}})(?![{CLOSERS}{STOPS}\s])"
-    thai = r"(?<=[ก-ฺเ-๎])(?= +[ก-ฺเ-๎])"
-    return f"{spaced}|{wide}|{danda}|{thai}"
+    spaced = rf"([{STOPS}{WIDE}]++(?:[{CLOSERS}]*+|\s[»›]))(?=\s+[^\s»›])(?:(?<![{QUOTES}])|(?!\s+\p{{Ll}}))(?:{goes_on}|(?!\s+\p{{Lo}}))"
+    wide = rf"([{WIDE}]++[{CLOSERS}]*+)(?=[^\sとっ、，]){goes_on}"
+    danda = rf"([।॥]++[{CLOSERS}]*+)(?=\S)"
+    thai = r"([ก-ฺเ-๎])(?= +[ก-ฺเ-๎])"
+    return f"{spaced}|{wide}|{danda}|{thai}", f"$1$2$3$4{BREAK}"
 
 
 def _placed(pieces: str, base: str) -> str:
@@ -145,7 +152,7 @@ def sentence_units(docs: DataFrame, id_col: str, text: str, start: str | None =
     df = df.withColumn("masked", F.col("t"))
     for step in masking_steps():
         df = df.withColumn("masked", F.when(F.col("kind") == 2, F.expr(step("masked"))))
-    split = _placed(f"split(masked, {_quote(boundary_rule())}, -1)", "at")
+    split = _placed(f"split({_replace('masked', *boundary_rule())}, '{BREAK}', -1)", "at")
     whole = f"array(named_struct('at', at + length(lead), 't', substring(t, length(lead) + 1)))"
     lead = F.when(F.col("kind") == 1, F.regexp_extract("t", marker, 0)).otherwise("")
     df = df.withColumn("lead", lead)
