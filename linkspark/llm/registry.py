@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.llm.contamination import leaked_items
+from linkspark.llm.languages import fit_model, line_languages, page_languages, stated_language
 from linkspark.llm.near_duplicates import near_duplicates
 from linkspark.llm.sentences import sentence_units
 from linkspark.llm.set_pairs import expand_pairs, normal_items, similar_sets
@@ -17,6 +18,22 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return expand_pairs(links, members).select(F.col("id_a").alias("page_id_a"), F.col("id_b").alias("page_id_b"))
 
 
+def _line_languages(spark: SparkSession, sf: str) -> DataFrame:
+    page = table(spark, sf, "page")
+    model = fit_model(table(spark, sf, "lang_sample"), page)
+    return line_languages(page, "page_id", "text", model)
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    stated = table(spark, sf, "page").select(F.col("page_id").alias("id"), stated_language(F.col("lang")).alias("stated"))
+    lines = _line_languages(spark, sf).where("counts")
+    return lines.join(stated, "id").where("stated is null or lang_code <> stated").select(F.col("id").alias("page_id"), "line_no", "lang_code")
+
+
+def p1_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return page_languages(_line_languages(spark, sf)).withColumnRenamed("id", "page_id")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     links, members = near_duplicates(table(spark, sf, "page"), "page_id", "text", threshold=0.7)
     return expand_pairs(links.select("a", "b"), members).select(F.col("id_a").alias("page_id_a"), F.col("id_b").alias("page_id_b"))
@@ -30,7 +47,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentence_units(table(spark, sf, "documents"), "doc_id", "text", "msg_start", "msg_end").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p9_found": p9_found, "p7_found": p7_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_pages": p1_pages, "p2_found": p2_found, "p9_found": p9_found, "p7_found": p7_found, "p6_found": p6_found}
 
 SQL = {
     "p6_found": r"""
