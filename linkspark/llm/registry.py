@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkspark.llm.contamination import leaked_items
 from linkspark.llm.languages import fit_model, line_languages, page_languages, stated_language
+from linkspark.llm.mixture import counted, mix_sources
 from linkspark.llm.near_duplicates import near_duplicates
 from linkspark.llm.sentences import sentence_units
 from linkspark.llm.set_pairs import expand_pairs, normal_items, similar_sets
@@ -43,11 +44,23 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_item"), "item_id", ["prompt", "answer"]).select("doc_id", "item_id")
 
 
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_sources(counted(table(spark, sf, "documents")), table(spark, sf, "mix_target"))[0]
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_report(spark, sf).where("short").select("source")
+
+
+def p8_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_sources(counted(table(spark, sf, "documents")), table(spark, sf, "mix_target"))[1].withColumnRenamed("id", "doc_id")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentence_units(table(spark, sf, "documents"), "doc_id", "text", "msg_start", "msg_end").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pages": p1_pages, "p2_found": p2_found, "p9_found": p9_found, "p7_found": p7_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_pages": p1_pages, "p2_found": p2_found, "p8_found": p8_found, "p8_report": p8_report, "p8_sample": p8_sample, "p9_found": p9_found, "p7_found": p7_found, "p6_found": p6_found}
 
 SQL = {
     "p6_found": r"""
