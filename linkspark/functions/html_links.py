@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input keygen link menuitem meta param source track wbr".split())
 RAW = frozenset(["script", "style"])
@@ -199,7 +200,8 @@ def strip_links(html: str) -> str:
     return serialise(root)
 
 
-LINKED = "html string, inserted array<struct<term:string,url:string,priority:boolean,context:string>>"
+_RECORD = T.StructType([T.StructField("term", T.StringType()), T.StructField("url", T.StringType()), T.StructField("priority", T.BooleanType()), T.StructField("context", T.StringType())])
+LINKED = T.StructType([T.StructField("html", T.StringType()), T.StructField("inserted", T.ArrayType(_RECORD))])
 
 
 @F.pandas_udf(LINKED)
@@ -209,6 +211,6 @@ def insert_links_udf(html: pd.Series, terms: pd.Series, max_links: pd.Series) ->
     return pd.DataFrame({"html": [r[0] for r in rows], "inserted": [r[1] for r in rows]})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_links_udf(html: pd.Series) -> pd.Series:
     return html.map(lambda h: None if h is None else strip_links(h))

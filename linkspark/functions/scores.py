@@ -51,11 +51,12 @@ def entropy_share(counts: Column) -> Column:
 
 def iso_instant(text: Column) -> Column:
     """ISO dates and times, those without zone in UTC; null for others."""
-    clean = F.regexp_replace(F.trim(text), "[Zz]$", "+00:00")
-    zoned = F.when(clean.rlike(r"[+-]\d\d:?\d\d$") | ~clean.rlike(r"\d\d:\d\d"), clean).otherwise(F.concat(clean, F.lit("+00:00")))
-    shaped = clean.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d([.]\d+)?)?([+-]\d\d:?\d\d)?)?$")
-    basic = F.when(clean.rlike(r"^\d{8}$"), F.try_to_timestamp(F.concat(clean, F.lit("+00")), F.lit("yyyyMMddx")))
-    day = F.when(clean.rlike(r"^\d{4}-\d\d-\d\d$"), F.try_to_timestamp(F.concat(clean, F.lit("T00:00:00+00:00"))))
+    clean = F.regexp_replace(text, r"[Zz]\z", "+00:00")
+    clean = F.regexp_replace(clean, r"([T ]\d\d:\d\d)([+-]|\z)", "$1:00$2")
+    zoned = F.when(clean.rlike(r"[+-]\d\d:?\d\d\z") | ~clean.rlike(r"\d\d:\d\d"), clean).otherwise(F.concat(clean, F.lit("+00:00")))
+    shaped = clean.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d([.]\d+)?)?([+-]\d\d:?\d\d)?)?\z")
+    basic = F.when(clean.rlike(r"^\d{8}\z"), F.try_to_timestamp(F.concat(clean, F.lit("+00")), F.lit("yyyyMMddx")))
+    day = F.when(clean.rlike(r"^\d{4}-\d\d-\d\d\z"), F.try_to_timestamp(F.concat(clean, F.lit("T00:00:00+00:00"))))
     return F.coalesce(basic, day, F.when(shaped, F.try_to_timestamp(zoned)))
 
 

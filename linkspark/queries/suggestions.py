@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from linkspark.functions import scores as S
 from linkspark.functions import text as X
@@ -16,6 +15,7 @@ from linkspark.plans import suggest
 from linkspark.plans.config import settings
 from linkspark.sources.pages import suggestion_json, suggestion_tsv
 from linkspark.sources.tables import table
+from linkspark.workspace import materialise
 
 CONFIG = settings()
 SIX = 6
@@ -26,7 +26,8 @@ def _raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return prepared(_raw(spark, sf))
+    """Prepared pages, written once: every branch of the pair plans reads only its columns."""
+    return materialise(prepared(_raw(spark, sf)), "pages")
 
 
 def r6(c: str, name: str | None = None):
@@ -193,7 +194,7 @@ _BASE = f"""
 WITH p0 AS (
   SELECT page_id, coalesce(url, '') AS url, coalesce(title, '') AS title, coalesce(text, html, '') AS text, nullif(lang, '') AS lang,
     list_filter(coalesce(tags, []), lambda x: x IS NOT NULL) AS tags, coalesce(type, 'other') AS type,
-    regexp_replace(trim(published_at, ' '), '[Zz]$', '+00:00') AS pub,
+    regexp_replace(published_at, '[Zz]$', '+00:00') AS pub,
     nullif(canonical, '') AS canonical, coalesce(noindex, false) AS noindex, coalesce(nofollow, false) AS nofollow,
     {", ".join(f"coalesce(metadata.{k}, false) AS {k}" for k in _FLAGS)},
     {", ".join(f"list_filter(coalesce(metadata.{k}, []), lambda x: x IS NOT NULL) AS {k}" for k in ("outbound_links", "taxonomy", "head_terms"))},
@@ -219,7 +220,7 @@ wp AS (SELECT post.field, post.term, page_id, tf,
   FROM post JOIN df ON post.field = df.field AND post.term = df.term CROSS JOIN st),
 ent0 AS (
   SELECT page_id, list_filter(entities, lambda e: e.name IS NOT NULL) AS stated,
-    regexp_extract_all(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\p{{L}}\\p{{N}}]', '|', 'g'), '[A-Za-z0-9_]*(?:[^\\x00-\\x7F][A-Za-z0-9_]*)+', '|', 'g'), '\\b([A-Z][a-zA-Z0-9\\-'']+(?:\\s+[A-Z][a-zA-Z0-9\\-'']+)*)\\b') AS found
+    regexp_extract_all(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\p{{L}}\\p{{N}}]', '|', 'g'), '[A-Za-z0-9_]*(?:[^\\x00-\\x7F][A-Za-z0-9_]*)+', '_', 'g'), '\\b([A-Z][a-zA-Z0-9\\-'']+(?:\\s+[A-Z][a-zA-Z0-9\\-'']+)*)\\b') AS found
   FROM p0),
 inferred AS (SELECT page_id, list_filter(found, lambda x: len({_words('x')}) <= 6) AS names, stated FROM ent0),
 ent AS (
@@ -291,13 +292,13 @@ SQL = {
     "business_filter": _BASE + "SELECT src, tgt FROM f WHERE business",
     "allow_candidates": _BASE + "SELECT src, tgt FROM f WHERE allowed",
     "pair_factors": _BASE + """
-SELECT src, tgt, language, review, CASE WHEN t.is_pillar OR t.type IN ('category', 'pillar') THEN 'intro' WHEN t.is_conversion_page THEN 'body' WHEN t.is_reference THEN 'conclusion' ELSE 'body' END AS placement,
+SELECT src, tgt, CAST(language AS DOUBLE) AS language, CAST(review AS DOUBLE) AS review, CASE WHEN t.is_pillar OR t.type IN ('category', 'pillar') THEN 'intro' WHEN t.is_conversion_page THEN 'body' WHEN t.is_reference THEN 'conclusion' ELSE 'body' END AS placement,
   CASE WHEN t.is_pillar OR t.is_hub OR (len(t.taxonomy) > 0 AND s.taxonomy[1:len(t.taxonomy)] = t.taxonomy) THEN 'parent'
     WHEN coalesce(s.parent_id <> '' AND s.parent_id = t.parent_id, false) OR (len(list_intersect(s.tags, t.tags)) > 0 AND s.type = t.type) THEN 'sibling' WHEN t.is_money_page THEN 'money' ELSE 'other' END AS role,
   array_to_string(list_filter([CASE WHEN both_lang AND s.lang <> t.lang THEN 'lang_mismatch' END, CASE WHEN t.type = 'product' AND len(t.body_tokens) < 250 THEN 'thin_target' END,
     CASE WHEN list_contains(s.outbound_links, t.url) THEN 'dup_anchor' END], lambda x: x IS NOT NULL), ',') AS flags FROM f""",
     "recall_candidates": _BASE + "SELECT src, tgt, round(recall, 6) AS recall FROM c",
-    "features_wide": _BASE + "SELECT src, tgt, " + ", ".join(f"round({k}, 6) AS {k}" for k in _FEATURES) + " FROM ft",
+    "features_wide": _BASE + "SELECT src, tgt, " + ", ".join(f"round(CAST({k} AS DOUBLE), 6) AS {k}" for k in _FEATURES) + " FROM ft",
     "score_pairs": _BASE + "SELECT src, tgt, round(score, 6) AS score FROM sc",
     "reason_text": _BASE + f""", wv AS ({_WEIGHED}),
 top AS (SELECT *, row_number() OVER (PARTITION BY src, tgt ORDER BY v DESC, k DESC) AS n FROM wv QUALIFY n <= 2)
