@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkspark.llm.samples import bounded_sample
+
 BUCKETS = 1 << 17
 #: Codes and English names of the languages.
 NAMES = {
@@ -196,11 +198,11 @@ def _gram_counts(words: Counter) -> np.ndarray:
 
 def fit_model(samples: DataFrame, pages: DataFrame | None = None, fit_pages: int = 2000) -> Model:
     """Fit on ``samples(lang, text)`` and, if given, up to ``fit_pages`` rows of
-    ``pages(page_id, lang, text)``; at most ``fit_pages`` sample rows a language count.
+    ``pages(page_id, lang, text)``; at most ``fit_pages`` sample rows for each of the 13 languages count.
     Rows without text or stated language are left out."""
     words: dict[str, Counter] = defaultdict(Counter)
     known = samples.select(stated_language(F.col("lang")).alias("lang"), "text").where("lang is not null and text is not null")
-    for lang, text in known.orderBy(F.xxhash64("text")).limit(fit_pages * len(NAMES)).collect():
+    for lang, text in bounded_sample(known, "text", fit_pages * len(NAMES)):
         words[lang].update(TOKEN.findall(text))
     counts = {lang: _gram_counts(c) for lang, c in words.items()}
     if not counts:
@@ -209,7 +211,7 @@ def fit_model(samples: DataFrame, pages: DataFrame | None = None, fit_pages: int
     if pages is None:
         return model
     own = pages.select("page_id", stated_language(F.col("lang")).alias("lang"), "text").where("lang is not null and length(text) > 0")
-    rows = own.orderBy(F.xxhash64("page_id"), "page_id").limit(fit_pages).collect()
+    rows = bounded_sample(own, "page_id", fit_pages)
     more: dict[str, Counter] = defaultdict(Counter)
     for at in range(0, len(rows), 256):
         part = rows[at : at + 256]
