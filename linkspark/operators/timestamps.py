@@ -121,12 +121,18 @@ def normalise_timestamps(df: DataFrame, value: str, zone: str | None = None, dat
     spark = df.sparkSession
     pattern, rewrite = compiled()
     zones = known_zones(spark)
-    own = [F.col(f"`{x}`") for x in df.columns if x not in (out, f"{out}_form")]
-    text = F.regexp_replace(F.col(f"`{value}`").cast("string"), r"^[\s\p{Z}\p{Cc}\uFEFF]+|[\s\p{Z}\p{Cc}\uFEFF]+$", "")
+    # the caller's columns take positional names meanwhile, which no helper's name can clash with
+    names = df.columns
+    df = df.toDF(*[f"__c{k}" for k in range(len(names))])
+    at = {x: F.col(f"__c{k}") for k, x in enumerate(names)}
+    kept = [(k, x) for k, x in enumerate(names) if x not in (out, f"{out}_form")]
+    own = [F.col(f"__c{k}") for k, _ in kept]
+    raw = at[value].cast("string")
+    text = F.regexp_replace(raw, r"^[\s\p{Z}\p{Cc}\uFEFF]+|[\s\p{Z}\p{Cc}\uFEFF]+$", "")
     text = F.regexp_replace(text, F.lit(pattern), F.lit(rewrite))
-    site = F.col(f"`{zone}`") if zone else F.lit(None).cast("string")
-    order = F.lower(F.trim(F.col(f"`{date_order}`"))) if date_order else F.lit("dmy")
-    work = df.select(*own, F.when(F.length(F.col(f"`{value}`")) <= 200, text).alias("__text"), site.alias("__site"), order.alias("__order"))
+    site = at[zone] if zone else F.lit(None).cast("string")
+    order = F.lower(F.trim(at[date_order])) if date_order else F.lit("dmy")
+    work = df.select(*own, F.when(F.length(raw) <= 200, text).alias("__text"), site.alias("__site"), order.alias("__order"))
     own_helpers = [F.col("__site"), F.col("__order")]
     work = _once(work, own + own_helpers, F.when(F.col("__text").startswith(SEP), F.split("__text", SEP)).alias("__p"))
 
@@ -196,7 +202,7 @@ def normalise_timestamps(df: DataFrame, value: str, zone: str | None = None, dat
     zoned = c["utc"].isNotNull() | c["off"].isNotNull()
     form = F.when(c["ep"].isNotNull(), "epoch").when(zoned, "zoned").when(c["h"].isNotNull(), "local").otherwise("date")
     work = _once(work, own + [F.col("__ep"), F.col("__utc"), F.col("__off"), F.col("__h")], result.alias(out))
-    return work.select(*own, F.col(out), F.when(F.col(out).isNotNull(), form).alias(f"{out}_form"))
+    return work.select(*[F.col(f"__c{k}").alias(x) for k, x in kept], F.col(out), F.when(F.col(out).isNotNull(), form).alias(f"{out}_form"))
 
 
 def page_timestamps(page: DataFrame, clock: DataFrame) -> DataFrame:
