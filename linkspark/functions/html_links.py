@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input keygen link menuitem meta param source track wbr".split())
 RAW = frozenset(["script", "style"])
+#: Fixed value: the class of a made link.
+LINK_CLASS = "interlinked-anchor"
 #: Text inside these is never linked.
 SKIPPED = frozenset("a code pre h1 h2 h3".split())
 BLOCKS = frozenset(["p", "li", "blockquote"])
@@ -166,7 +168,7 @@ def insert_links(html: str, terms: list[dict], max_links: int = 10, per_block: i
                 if m is None:
                     continue
                 home, at = x.parent, next(k for k, c in enumerate(x.parent.children) if c is x)
-                link = Element("a", [("href", t["url"]), ("class", "interlinked-anchor"), ("data-source", "priority" if t["priority"] else "auto")], home)
+                link = Element("a", [("href", t["url"]), ("class", LINK_CLASS), ("data-source", "priority" if t["priority"] else "auto")], home)
                 link.children.append(Text(m.group(0), link))
                 rest = [Text(x.value[: m.start()], home)] if m.start() else []
                 rest.append(link)

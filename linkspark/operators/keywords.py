@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions import text as X
+from linkspark.functions.html_links import LINK_CLASS
 
 SEPARATORS = ["->", "|", ",", "\t"]
 URL = r"(?iu)^(?:[a-z][a-z0-9+.\-]*://)?(?:[^\s/?#@]+@)?(?:localhost|[\p{L}\p{N}_\-]+(?:\.[\p{L}\p{N}_\-]+)+|\d+(?:\.\d+){3})(?::\d{1,5})?(?:[/?#]\S*)?$"
@@ -80,7 +81,7 @@ def link_paragraphs(docs: DataFrame, terms: DataFrame, max_links: int = 10) -> D
         at = F.regexp_instr(line, m["pattern"]) - 1
         hit = F.substring(line, at + 1, F.length(F.regexp_substr(line, m["pattern"])))
         source = F.when(m["priority"], "priority").otherwise("auto")
-        linked = F.concat(F.substring(line, F.lit(1), at), F.lit('<a href="'), F.replace(m["url"], F.lit('"'), F.lit("&quot;")), F.lit('" class="interlinked-anchor" data-source="'), source, F.lit('">'), hit, F.lit("</a>"), F.substring(line, at + F.length(hit) + 1, F.length(line)))
+        linked = F.concat(F.substring(line, F.lit(1), at), F.lit('<a href="'), F.replace(m["url"], F.lit('"'), F.lit("&quot;")), F.lit(f'" class="{LINK_CLASS}" data-source="'), source, F.lit('">'), hit, F.lit("</a>"), F.substring(line, at + F.length(hit) + 1, F.length(line)))
         made = F.struct(m["term"].alias("term"), m["url"].alias("url"), m["priority"].alias("priority"), X.snippet(line, at, at + F.length(hit)).alias("context"))
         return F.when(m["key"].isNotNull(), F.struct(F.array_append(acc["out"], linked).alias("out"), F.array_append(acc["used"], m["key"]).alias("used"), F.concat(acc["ins"], F.array(made).cast(record)).alias("ins"))).otherwise(
             F.struct(F.array_append(acc["out"], line).alias("out"), acc["used"].alias("used"), acc["ins"].alias("ins")))

@@ -113,11 +113,11 @@ def keyword_dictionary(spark, sf):
     return K.term_dictionary(none, slugs).select("id", F.col("rank").cast("long").alias("rank"), "key", "term", "url", "priority")
 
 
-def plain_text_interlink(spark, sf):
+def plain_text_links(spark, sf):
     return K.link_paragraphs(_docs(spark, sf), _terms(spark, sf)).select("id", "html", F.size("inserted").cast("long").alias("n"), F.to_json("inserted").alias("inserted"))
 
 
-def html_interlink(spark, sf):
+def html_keyword_links(spark, sf):
     """Pages' html with links for their site's slugs that occur in their text."""
     docs = table(spark, sf, "page").select(F.col("page_id").alias("id"), F.col("domain_id").alias("scope"), F.coalesce("text", F.lit("")).alias("text"), "html")
     terms = K.term_dictionary(spark.createDataFrame([], "id long, pos int, term string, url string"), K.matching_slugs(docs.drop("html"), _slugs(spark, sf)))
@@ -168,7 +168,7 @@ def rate_limit_tight(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     slug_from_url, same_host_links, slug_map, upsert_links, link_search, link_counts, generation_history, insertion_totals, missing_priority, sitemap_documents, sitemap_parse, robots_documents, priority_pairs,
-    keyword_matches, keyword_dictionary, plain_text_interlink, html_interlink, strip_links, paragraph_wrap, title_terms, query_parameters, request_clients, rate_limit, rate_limit_tight)}
+    keyword_matches, keyword_dictionary, plain_text_links, html_keyword_links, strip_links, paragraph_wrap, title_terms, query_parameters, request_clients, rate_limit, rate_limit_tight)}
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _SYNTAX = r"'^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?'"
