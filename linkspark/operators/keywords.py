@@ -47,15 +47,36 @@ def term_dictionary(pairs: DataFrame, slugs: DataFrame) -> DataFrame:
     return first.select("id", F.row_number().over(w).alias("rank"), "key", "m.term", "m.url", "m.priority")
 
 
+#: What bounds a term, by the case rules that also hold inside term_pattern.
+ASCII_WORD = "(?iu)([a-z0-9_]+)"
+#: Numbers of leading characters by which the other terms are found, longest first.
+REACH = [4, 2, 1]
+
+
+def _folded(x: Column) -> Column:
+    """One form of all strings that a pattern in any case takes for the same: upper case, after the
+    six letters that it doesn't reach."""
+    return F.upper(F.translate(x, "\u0130\u212a\u212b\u1e9e\u03f4\u2126", "ikåßθω"))
+
+
 def matching_slugs(docs: DataFrame, slugs: DataFrame) -> DataFrame:
     """(id, slug, url) of the dictionary terms that a document's text holds.
 
-    ``docs(id, scope, text)`` and ``slugs(scope, slug, url)`` meet by scope and the first word
-    of the term, then the whole term is looked for as a bounded phrase; a dictionary of any
-    size is thus never paired with every text."""
-    heads = docs.select("id", "scope", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("head"))
-    terms = slugs.select("scope", "slug", "url", F.regexp_extract(F.lower("slug"), r"^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+)", 1).alias("head")).where("head <> ''")
-    met = heads.select("id", "scope", "head").join(terms, ["scope", "head"]).select("id", "slug", "url")
+    ``docs(id, scope, text)`` and ``slugs(scope, slug, url)`` meet by scope and the head of the
+    term, then the whole term is looked for as a bounded phrase.  Bounds are ASCII word characters
+    only: the leading ASCII word of a term is a whole ASCII word of any text that holds it, whatever
+    letters touch it.  Other terms may start anywhere, and meet texts by their first characters.  A
+    dictionary of any size is thus never paired with every text."""
+    term = X.collapse(F.col("slug"))
+    reach = F.coalesce(*[F.when(F.length(term) >= n, n) for n in REACH])
+    word = F.regexp_extract(term, "^" + ASCII_WORD, 1)
+    terms = slugs.select("scope", "slug", "url", F.when(word == "", reach).alias("reach"), _folded(F.when(word == "", F.substring(term, F.lit(1), reach)).otherwise(word)).alias("head")).where("head <> ''")
+    words = docs.select("id", "scope", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(ASCII_WORD), 1), _folded))).alias("head"))
+    # only the lengths that a scope's terms have are cut out of its texts
+    reaches = terms.where("reach is not null").groupBy("scope").agg(F.collect_set("reach").alias("reaches"))
+    starts = F.flatten(F.array(*[F.when(F.array_contains("reaches", n), F.regexp_extract_all("text", F.lit(rf"(?isu)(?=([^a-z0-9_\s].{{{n - 1}}}))"), 1)).otherwise(F.array().cast("array<string>")) for n in REACH]))
+    places = docs.where("text is not null").join(reaches, "scope").select("id", "scope", F.explode(F.array_distinct(F.transform(starts, _folded))).alias("head"))
+    met = words.unionByName(places).join(terms, ["scope", "head"]).select("id", "slug", "url")
     return met.join(docs.select("id", "text"), "id").where(F.contains(F.lower("text"), F.lower(X.collapse(F.col("slug"))))).where(_holds(F.col("text"), F.col("slug"))).select("id", "slug", "url").distinct()
 
 
