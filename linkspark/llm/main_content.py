@@ -10,7 +10,8 @@ The lines of a page's stored text are matched with its blocks by their letters
 and digits.  Lines without a matching block (pages without html) are decided by a
 line model fitted on matched lines of a bounded sample of pages, by the headline's
 place, by the heading of other pages' teasers, and by the names a paragraph shares
-with the rest of the article.
+with the rest of the article.  Headings and the words that are no names are those
+of all pages with html.
 """
 
 from __future__ import annotations
@@ -235,27 +236,23 @@ def plain_line(line: str) -> str:
     return re.sub(r"\d+", "0", HOST.sub("\u0001", line))
 
 
+NAME = re.compile(r"[A-Z][a-z]{3,}")
+
+
 class LineModel:
-    """Naive Bayes of article and other lines, and the keys of teaser headings."""
+    """Naive Bayes of article and other lines, with the capitalised words that are too common for names."""
 
-    def __init__(self, rows: list[tuple[str, str]]) -> None:
+    def __init__(self, rows: list[tuple[str, str]], common: set[str]) -> None:
         from linkspark.llm.languages import TOKEN as WORD
         from linkspark.llm.languages import Model, _gram_counts
 
         self.word = WORD
+        self.common = common
         seen = {True: Counter(), False: Counter()}
-        self.headings: set[str] = set()
-        pages: Counter = Counter()
         for html, text in rows:
-            names = set()
-            for _, line, flag, tag in Labels.of(html, text):
+            for _, line, flag, _ in Labels.of(html, text):
                 if flag is not None:
                     seen[flag].update(WORD.findall(plain_line(line)))
-                if flag is False and tag in ("h3", "h4", "h5", "h6"):
-                    self.headings.add(line_key(line))
-                names.update(WORD.findall(line))
-            pages.update(names)
-        self.common = {w for w, n in pages.items() if n > max(3, 0.01 * len(rows))}
         # some of each class, so that an empty sample gives a model that favours the article
         seen[True].update(["\u0001"])
         seen[False].update(["\u0001"])
@@ -274,11 +271,12 @@ class LineModel:
         return score[:, 1] - score[:, 0] - np.maximum(1.0, 0.25 * np.diff(np.r_[first, len(words)]))
 
     def names(self, line: str) -> set[str]:
-        return {w for w in re.findall(r"[A-Z][a-z]{3,}", line) if w not in self.common}
+        return {w for w in NAME.findall(line) if w not in self.common}
 
-    def page(self, title: str | None, lines: list[str], votes: list[float | None]) -> list[bool]:
+    def page(self, title: str | None, lines: list[str], votes: list[float | None], headings: list[bool]) -> list[bool]:
         """Which lines of a page without html are outside the article.  ``votes`` has the
-        share of pages that show the same line outside theirs, if there are such pages."""
+        share of pages that show the same line outside theirs, if there are such pages,
+        ``headings`` whether one of these shows it as a heading."""
         if not lines:
             return []
         odds = self.noise(lines)
@@ -293,7 +291,7 @@ class LineModel:
             out[head] = False
         for k in range(head):
             out[k] = True
-        tail = next((k for k in range(head + 1, len(lines)) if keys[k] in self.headings), len(lines))
+        tail = next((k for k in range(head + 1, len(lines)) if headings[k]), len(lines))
         for k in range(tail, len(lines)):
             out[k] = True
         # a last paragraph whose names no other part of the article has
@@ -312,22 +310,34 @@ def _hash(key: str) -> int:
     return xxhash.xxh64_intdigest(key) - (1 << 63)
 
 
+LINES = "id long, line_no long, key long, main boolean, line string, heading boolean, words array<string>"
+
+
 def _lines_of_html(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``heading`` marks headings outside the article; a page's first line has the
+    capitalised ``words`` of the page if that has html."""
+    from linkspark.llm.languages import TOKEN as WORD
+
     for batch in batches:
-        ids, nos, keys, flags, lines = [], [], [], [], []
+        ids, nos, keys, flags, lines, headings, words = [], [], [], [], [], [], []
         for doc, html, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
             source = html.as_py()
             if source and source.strip():
                 found = Labels.of(source, text.as_py())
             else:
                 found = [(k, x, None, "") for k, x in enumerate(text.as_py().split("\n"), 1) if x.strip()]
-            for k, line, flag, _ in found:
+            if found:
+                words += [sorted({w for _, line, _, _ in found for w in WORD.findall(line) if NAME.fullmatch(w)}) if source else None, *[None] * (len(found) - 1)]
+            for k, line, flag, tag in found:
                 ids.append(doc)
                 nos.append(k)
                 keys.append(_hash(line_key(line)))
                 flags.append(flag)
                 lines.append(line if flag is None else None)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int64()), pa.array(keys, pa.int64()), pa.array(flags, pa.bool_()), pa.array(lines, pa.string())], ["id", "line_no", "key", "main", "line"])
+                headings.append(flag is False and tag in ("h3", "h4", "h5", "h6"))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(nos, pa.int64()), pa.array(keys, pa.int64()), pa.array(flags, pa.bool_()), pa.array(lines, pa.string()), pa.array(headings, pa.bool_()), pa.array(words, pa.list_(pa.string()))],
+            ["id", "line_no", "key", "main", "line", "heading", "words"])
 
 
 def _decider(shared):
@@ -336,7 +346,7 @@ def _decider(shared):
         for batch in batches:
             ids, nos, flags = [], [], []
             for doc, title, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                noise = model.page(title, [r["line"] or "" for r in rows], [r["vote"] for r in rows])
+                noise = model.page(title, [r["line"] or "" for r in rows], [r["vote"] for r in rows], [r["heading"] for r in rows])
                 for r, n in zip(rows, noise):
                     if r["line"] is not None and r["open"]:
                         ids.append(doc)
@@ -347,10 +357,19 @@ def _decider(shared):
     return run
 
 
-def fit_lines(pages: DataFrame, fit_pages: int = 1500) -> LineModel:
+def common_words(lines: DataFrame) -> set[str]:
+    """Capitalised words on more than 3 and more than one in a hundred of all pages with html.
+    Their number is bounded by a hundred times the words of a page."""
+    own = lines.where("words is not null")
+    n = own.count()
+    counts = own.select(F.explode("words").alias("word")).groupBy("word").count()
+    return {r["word"] for r in counts.where(F.col("count") > max(3, 0.01 * n)).select("word").collect()}
+
+
+def fit_lines(pages: DataFrame, common: set[str], fit_pages: int = 1500) -> LineModel:
     """The line model of at most ``fit_pages`` pages(page_id, html, text) with html, in the order of a hash of their id."""
     rows = bounded_sample(pages.where("length(html) > 0 and length(text) > 0").select("page_id", "html", "text"), "page_id", fit_pages)
-    return LineModel([(r["html"], r["text"]) for r in rows])
+    return LineModel([(r["html"], r["text"]) for r in rows], common)
 
 
 def line_roles(pages: DataFrame, fit_pages: int = 1500) -> DataFrame:
@@ -363,15 +382,15 @@ def line_roles(pages: DataFrame, fit_pages: int = 1500) -> DataFrame:
 
     spark = pages.sparkSession
     own = pages.where("page_id is not null and text is not null")
-    shared = spark.sparkContext.broadcast(fit_lines(own, fit_pages))
     texts = own.select(F.col("page_id").cast("long").alias("id"), "html", "text")
-    lines = materialise(texts.mapInArrow(_lines_of_html, "id long, line_no long, key long, main boolean, line string"), "lines")
+    lines = materialise(texts.mapInArrow(_lines_of_html, LINES), "lines")
+    shared = spark.sparkContext.broadcast(fit_lines(own, common_words(lines), fit_pages))
     known = lines.where("main is not null").select("id", "line_no", "main")
     open_pages = lines.where("main is null").select("id").distinct()
-    left = lines.join(open_pages, "id", "left_semi")
+    left = lines.join(open_pages, "id", "left_semi").select("id", "line_no", "key", "main", "line")
     # how the same line stands on pages whose html tells, over the whole corpus
-    votes = lines.where("main is not null").join(left.where("main is null").select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.avg(F.when(F.col("main"), 0.0).otherwise(1.0)).alias("vote"))
+    votes = lines.where("main is not null").join(left.where("main is null").select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.avg(F.when(F.col("main"), 0.0).otherwise(1.0)).alias("vote"), F.max("heading").alias("heading"))
     titles = own.select(F.col("page_id").cast("long").alias("id"), "title").groupBy("id").agg(F.min("title").alias("title"))
-    row = F.struct("line_no", "line", F.when(F.col("main").isNull(), F.col("vote")).otherwise(F.when(F.col("main"), 0.0).otherwise(1.0)).alias("vote"), F.col("main").isNull().alias("open"))
+    row = F.struct("line_no", "line", F.when(F.col("main").isNull(), F.col("vote")).otherwise(F.when(F.col("main"), 0.0).otherwise(1.0)).alias("vote"), F.col("main").isNull().alias("open"), (F.col("main").isNull() & F.coalesce("heading", F.lit(False))).alias("heading"))
     grouped = left.join(votes, "key", "left").groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("rows")).join(titles, "id", "left").select("id", "title", "rows")
     return known.unionByName(grouped.mapInArrow(_decider(shared), "id long, line_no long, main boolean"))

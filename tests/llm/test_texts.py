@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkspark.llm.languages import fit_model, line_languages, page_languages, stated_language
-from linkspark.llm.main_content import Labels, blocks, line_key, line_roles, render
+from linkspark.llm.main_content import Labels, blocks, common_words, line_key, line_roles, render
 from linkspark.llm.mixture import VOCABULARY, mix_sources, rake, token_counts
 from linkspark.llm.sentences import sentence_units
 
@@ -99,6 +99,16 @@ def test_line_roles_edges(spark):
     assert {k[0] for k in got} == {1, 2, 5} and line_roles(df.limit(0)).count() == 0
 
 
+def test_headings_and_common_words_of_all_pages(spark):
+    page = "<body><h1>{0}</h1><p>Some words of {0} and Zanzibar.</p><aside><h3>Read {1} too</h3></aside></body>"
+    rows = [(k, f"Head{k}", page.format(f"Head{k}", f"n{k % 20}"), f"Head{k}\nSome words of Head{k} and Zanzibar.\nRead n{k % 20} too") for k in range(200)]
+    hidden = [(1000 + k, "Own", None, f"Own\nSome words of Own.\nRead n{k} too\nSome words of Own here.") for k in range(20)]
+    got = line_roles(spark.createDataFrame(rows + hidden, "page_id long, title string, html string, text string"), fit_pages=4).where("id >= 1000 and not main").collect()
+    assert sorted((r["id"], r["line_no"]) for r in got) == [(1000 + k, n) for k in range(20) for n in (3, 4)]
+    lines = spark.createDataFrame([(["Zanzibar", f"Rare{k}"],) for k in range(500)] + [(None,)], "words array<string>")
+    assert common_words(lines) == {"Zanzibar"}
+
+
 def test_rake():
     cells = [("a", "en", "x", 1000), ("a", "de", "y", 500), ("b", "en", "y", 100), ("b", "de", "x", 50)]
     w = rake(cells, {"a": (0.5, 1), "b": (0.5, 2), "c": (0.1, 3)}, 800)
