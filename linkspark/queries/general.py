@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.operators.hierarchy import descendant_counts, parent_edges, resolve_hierarchy
+from linkspark.operators.hierarchy import closure, descendant_counts, parent_edges, resolve_hierarchy
 from linkspark.operators.timestamps import page_timestamps
 from linkspark.sources.tables import table
 
@@ -30,6 +30,14 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return descendant_counts(tree).select(F.col("node").cast("long").alias("page_id"), F.col("n_descendants").cast("long").alias("n_descendants"))
 
 
+def p5_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """Every ancestor of every page; a page on or below a cycle has one row, with -1 for ancestor and steps."""
+    tree = resolve_hierarchy(parent_edges(table(spark, sf, "page")))
+    pairs = closure(tree).select(F.col("ancestor").cast("long").alias("ancestor_id"), F.col("node").alias("page_id"), F.col("steps").cast("long").alias("steps"))
+    circular = tree.where("root is null").select(F.lit(-1).cast("long").alias("ancestor_id"), F.col("node").alias("page_id"), F.lit(-1).cast("long").alias("steps"))
+    return pairs.unionByName(circular)
+
+
 _EDGES = r"""
 WITH RECURSIVE named AS (
   SELECT page_id, url, regexp_replace(metadata.parent_id, '^\s+|\s+$', '', 'g') AS p FROM page),
@@ -56,6 +64,10 @@ FROM edges e LEFT JOIN tree t ON e.node = t.node WHERE e.is_named""",
     "p5_descendants": _EDGES + """
 , up AS (SELECT CAST(unnest(string_split(path, '/')) AS BIGINT) AS node FROM tree)
 SELECT node AS page_id, count(*) - 1 AS n_descendants FROM up GROUP BY 1""",
+    "p5_closure": _EDGES + """
+, up AS (SELECT node, depth, CAST(unnest(string_split(path, '/')) AS BIGINT) AS ancestor, generate_subscripts(string_split(path, '/'), 1) - 1 AS k FROM tree)
+SELECT ancestor AS ancestor_id, node AS page_id, depth - k AS steps FROM up WHERE k < depth
+UNION ALL SELECT -1, node, -1 FROM edges WHERE node NOT IN (SELECT node FROM tree)""",
 }
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_descendants": p5_descendants}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_descendants": p5_descendants, "p5_closure": p5_closure}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from linkspark.operators.hierarchy import closure, descendant_counts, parent_edges, resolve_hierarchy
 from linkspark.operators.timestamps import normalise_timestamps, page_timestamps
+from linkspark.queries.general import QUERIES
 
 PAGE = "page_id long, domain_id long, published_at string"
 CLOCK = "domain_id long, tz_name string, date_order string"
@@ -94,3 +95,10 @@ def test_hierarchy_edges(spark):
     assert got == {1: (False, None), 2: (True, 1), 3: (True, 1), 4: (False, None), 5: (True, 5), 6: (True, None), 7: (True, None)}
     tree = {r["node"]: r["depth"] for r in resolve_hierarchy(parent_edges(spark.createDataFrame(rows, meta))).collect()}
     assert tree == {1: 0, 2: 1, 3: 1, 4: 0, 5: None, 6: 0, 7: 0}
+
+
+def test_closure_lists_descendants_and_circular_pages(spark, tmp_path):
+    rows = [(1, "a", None), (2, "b", ("1",)), (3, "c", ("2",)), (4, "d", ("5",)), (5, "e", ("4",)), (6, "f", ("5",)), (7, "g", ("99",))]
+    spark.createDataFrame(rows, "page_id long, url string, metadata struct<parent_id:string>").write.parquet(str(tmp_path / "page.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["p5_closure"](spark, str(tmp_path)).collect())
+    assert got == [(-1, 4, -1), (-1, 5, -1), (-1, 6, -1), (1, 2, 1), (1, 3, 2), (2, 3, 1)]
