@@ -112,7 +112,7 @@ def normalise_timestamps(df: DataFrame, value: str, zone: str | None = None, dat
 
     ``zone`` names the column with the IANA zone of values that bring none,
     ``date_order`` the column with ``mdy`` or ``dmy`` (anything else: ``dmy``).
-    Null, empty, unparsable and impossible values, values of over 200 characters, and local values of rows whose
+    Null, empty, unparsable and impossible values, and local values of rows whose
     zone is null or unknown, give null.  A repeated local time is the first of the
     two unless a standard-time abbreviation names the second; a skipped one moves
     on by the length of the jump.  Rows are neither dropped nor multiplied and
@@ -128,11 +128,13 @@ def normalise_timestamps(df: DataFrame, value: str, zone: str | None = None, dat
     kept = [(k, x) for k, x in enumerate(names) if x not in (out, f"{out}_form")]
     own = [F.col(f"__c{k}") for k, _ in kept]
     raw = at[value].cast("string")
-    text = F.regexp_replace(raw, r"^[\s\p{Z}\p{Cc}\uFEFF]+|[\s\p{Z}\p{Cc}\uFEFF]+$", "")
+    # blanks inside are passed once, however long they are
+    blank = r"[\s\p{Z}\p{Cc}\uFEFF]"
+    text = F.regexp_replace(raw, rf"^{blank}++|(?<!{blank}){blank}++$", "")
     text = F.regexp_replace(text, F.lit(pattern), F.lit(rewrite))
     site = at[zone] if zone else F.lit(None).cast("string")
     order = F.lower(F.trim(at[date_order])) if date_order else F.lit("dmy")
-    work = df.select(*own, F.when(F.length(raw) <= 200, text).alias("__text"), site.alias("__site"), order.alias("__order"))
+    work = df.select(*own, text.alias("__text"), site.alias("__site"), order.alias("__order"))
     own_helpers = [F.col("__site"), F.col("__order")]
     work = _once(work, own + own_helpers, F.when(F.col("__text").startswith(SEP), F.split("__text", SEP)).alias("__p"))
 

@@ -51,6 +51,14 @@ def test_local_times_follow_zone_rules(spark):
         assert got[k] == round(want.timestamp()) * 1_000_000, (t, z)
 
 
+def test_long_timestamps(spark):
+    blank = " " * 200_000
+    values = [blank + "2024-01-01T00:00:00Z" + blank, "2021-07-31T17:43:52.278123" + "9" * 5_000 + "Z", "\u3000" * 300 + "2024-01-01", "2024-01-01" + blank + "12:00:00Z", "x" + blank + "y", "2024-01-01" + blank + "x", "2024-01-01T00:00:00." + "1" * 5_000 + "x"]
+    df = spark.createDataFrame([(k, v, "UTC") for k, v in enumerate(values)], "id int, v string, z string")
+    got = {r["id"]: r["at"] for r in normalise_timestamps(df, "v", "z", out="at").collect()}
+    assert [got[k] for k in range(len(values))] == [micros(2024, 1, 1), micros(2021, 7, 31, 17, 43, 52, 278123), micros(2024, 1, 1), micros(2024, 1, 1, 12), None, None, None]
+
+
 def test_timestamps_keep_columns_and_rows(spark):
     df = spark.createDataFrame([(1, "2024-01-01", "a"), (1, "2024-01-01", "a")], "__at int, v string, utc_micros string")
     out = normalise_timestamps(df, "v", out="us")
