@@ -159,10 +159,14 @@ def blocks(html: str) -> list[Block]:
 
 
 def render(html: str) -> str:
-    """All visible text: a blank line between paragraphs, ``-`` or numbers before list
+    """All visible text of a page, see :func:`render_blocks`."""
+    return render_blocks(blocks(html))
+
+
+def render_blocks(found: list[Block]) -> str:
+    """The text of blocks: a blank line between paragraphs, ``-`` or numbers before list
     items indented by depth, the cells of a table row on one line in aligned columns."""
     lines: list[str] = []
-    found = blocks(html)
     at = 0
     while at < len(found):
         b = found[at]
@@ -212,8 +216,12 @@ class Labels:
     @staticmethod
     def of(html: str, text: str) -> list[tuple[int, str, bool | None, str]]:
         found = blocks(html)
+        return Labels.of_blocks(found, in_article(found), text)
+
+    @staticmethod
+    def of_blocks(found: list[Block], flags: list[bool], text: str) -> list[tuple[int, str, bool | None, str]]:
         places: dict[str, list] = defaultdict(list)
-        for b, flag in zip(found, in_article(found)):
+        for b, flag in zip(found, flags):
             places[line_key(b.text)].append((flag, b.tag))
         out = []
         for k, line in enumerate(text.split("\n"), 1):
@@ -313,31 +321,44 @@ def _hash(key: str) -> int:
 LINES = "id long, line_no long, key long, main boolean, line string, heading boolean, words array<string>"
 
 
-def _lines_of_html(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``heading`` marks headings outside the article; a page's first line has the
-    capitalised ``words`` of the page if that has html."""
+def _lines_of_html(rendered: bool = False):
+    """Lines of pages: ``heading`` marks headings outside the article; a page's first line has
+    the capitalised ``words`` of the page if that has html.  ``rendered``: also, as line 0, the
+    article of a page whose html shows one."""
     from linkspark.llm.languages import TOKEN as WORD
 
-    for batch in batches:
-        ids, nos, keys, flags, lines, headings, words = [], [], [], [], [], [], []
-        for doc, html, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            source = html.as_py()
-            if source and source.strip():
-                found = Labels.of(source, text.as_py())
-            else:
-                found = [(k, x, None, "") for k, x in enumerate(text.as_py().split("\n"), 1) if x.strip()]
-            if found:
-                words += [sorted({w for _, line, _, _ in found for w in WORD.findall(line) if NAME.fullmatch(w)}) if source else None, *[None] * (len(found) - 1)]
-            for k, line, flag, tag in found:
-                ids.append(doc)
-                nos.append(k)
-                keys.append(_hash(line_key(line)))
-                flags.append(flag)
-                lines.append(line if flag is None else None)
-                headings.append(flag is False and tag in ("h3", "h4", "h5", "h6"))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(nos, pa.int64()), pa.array(keys, pa.int64()), pa.array(flags, pa.bool_()), pa.array(lines, pa.string()), pa.array(headings, pa.bool_()), pa.array(words, pa.list_(pa.string()))],
-            ["id", "line_no", "key", "main", "line", "heading", "words"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, nos, keys, flags, lines, headings, words = [], [], [], [], [], [], []
+            for doc, html, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                source, text = html.as_py(), text.as_py() or ""
+                body = ""
+                if source and source.strip():
+                    shown = blocks(source)
+                    inside = in_article(shown)
+                    found = Labels.of_blocks(shown, inside, text)
+                    # broken html shows no line of the text
+                    if rendered and (not found or any(flag is not None for _, _, flag, _ in found)):
+                        body = render_blocks([b for b, own in zip(shown, inside) if own])
+                else:
+                    found = [(k, x, None, "") for k, x in enumerate(text.split("\n"), 1) if x.strip()]
+                if found:
+                    words += [sorted({w for _, line, _, _ in found for w in WORD.findall(line) if NAME.fullmatch(w)}) if source else None, *[None] * (len(found) - 1)]
+                for k, line, flag, tag in found:
+                    ids.append(doc)
+                    nos.append(k)
+                    keys.append(_hash(line_key(line)))
+                    flags.append(flag)
+                    lines.append(line if flag is None else None)
+                    headings.append(flag is False and tag in ("h3", "h4", "h5", "h6"))
+                if body:
+                    for column, x in ((ids, doc), (nos, 0), (keys, None), (flags, None), (lines, body), (headings, False), (words, None)):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(nos, pa.int64()), pa.array(keys, pa.int64()), pa.array(flags, pa.bool_()), pa.array(lines, pa.string()), pa.array(headings, pa.bool_()), pa.array(words, pa.list_(pa.string()))],
+                ["id", "line_no", "key", "main", "line", "heading", "words"])
+
+    return run
 
 
 def _decider(shared):
@@ -378,13 +399,37 @@ def line_roles(pages: DataFrame, fit_pages: int = 1500) -> DataFrame:
     Lines count from 1.  Rows with a null id or text are left out; a null, empty or
     broken html leaves the decision to the line model, as it does for single lines
     that no block matches.  Repeated rows give repeated lines; other columns are ignored."""
+    own = pages.where("page_id is not null and text is not null")
+    return _roles(own, _lines(own), fit_pages)
+
+
+def main_texts(pages: DataFrame, fit_pages: int = 1500) -> DataFrame:
+    """(id, text) of each of ``pages(page_id, title, html, text)``: its article, as rendered from
+    its html or, where that is null, empty or broken, the lines of its text that belong to it.
+
+    ``page_id`` is taken for unique; rows without are left out.  A page without article
+    has an empty text."""
+    own = pages.where("page_id is not null")
+    every = _lines(own, rendered=True)
+    lines = every.where("line_no > 0")
+    bodies = every.where("line_no = 0").select("id", F.col("line").alias("body"))
+    # pages without a body, with the lines that no block decides: all of them where there is no html
+    bare = lines.where("line is not null").select("id", "line_no", "line").join(bodies.select("id"), "id", "left_anti")
+    kept = bare.join(_roles(own.where("text is not null"), lines, fit_pages).where("main").select("id", "line_no"), ["id", "line_no"])
+    joined = kept.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("line_no", F.trim("line").alias("line")))).alias("rows"))
+    texts = bodies.unionByName(joined.select("id", F.array_join(F.col("rows.line"), "\n\n").alias("body"))).groupBy("id").agg(F.max("body").alias("text"))
+    return own.select(F.col("page_id").cast("long").alias("id")).distinct().join(texts, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _lines(own: DataFrame, rendered: bool = False) -> DataFrame:
     from linkspark.workspace import materialise
 
-    spark = pages.sparkSession
-    own = pages.where("page_id is not null and text is not null")
     texts = own.select(F.col("page_id").cast("long").alias("id"), "html", "text")
-    lines = materialise(texts.mapInArrow(_lines_of_html, LINES), "lines")
-    shared = spark.sparkContext.broadcast(fit_lines(own, common_words(lines), fit_pages))
+    return materialise(texts.mapInArrow(_lines_of_html(rendered), LINES), "lines")
+
+
+def _roles(own: DataFrame, lines: DataFrame, fit_pages: int) -> DataFrame:
+    shared = own.sparkSession.sparkContext.broadcast(fit_lines(own, common_words(lines), fit_pages))
     known = lines.where("main is not null").select("id", "line_no", "main")
     open_pages = lines.where("main is null").select("id").distinct()
     left = lines.join(open_pages, "id", "left_semi").select("id", "line_no", "key", "main", "line")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkspark.llm.contamination import leaked_items
 from linkspark.llm.languages import fit_model, line_languages, page_languages, stated_language
-from linkspark.llm.main_content import line_roles
+from linkspark.llm.main_content import line_roles, main_texts
 from linkspark.llm.mixture import counted, mix_sources
 from linkspark.llm.near_duplicates import near_duplicates
 from linkspark.llm.sentences import sentence_units
@@ -19,6 +19,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return line_roles(table(spark, sf, "page")).where("not main").select(F.col("id").alias("page_id"), "line_no")
 
 
+def p4_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of every page, rendered."""
+    return main_texts(table(spark, sf, "page")).withColumnRenamed("id", "page_id")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     links, members = similar_sets(table(spark, sf, "page"), "page_id", normal_items(F.col("tags")), threshold=0.6, min_size=3)
     return expand_pairs(links, members).select(F.col("id_a").alias("page_id_a"), F.col("id_b").alias("page_id_b"))
@@ -65,7 +70,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentence_units(table(spark, sf, "documents"), "doc_id", "text", "msg_start", "msg_end").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pages": p1_pages, "p4_found": p4_found, "p2_found": p2_found, "p8_found": p8_found, "p8_report": p8_report, "p8_sample": p8_sample, "p9_found": p9_found, "p7_found": p7_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_pages": p1_pages, "p4_found": p4_found, "p4_text": p4_text, "p2_found": p2_found, "p8_found": p8_found, "p8_report": p8_report, "p8_sample": p8_sample, "p9_found": p9_found, "p7_found": p7_found, "p6_found": p6_found}
 
 SQL = {
     "p6_found": r"""

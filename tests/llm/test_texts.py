@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkspark.llm.languages import fit_model, line_languages, page_languages, stated_language
-from linkspark.llm.main_content import Labels, blocks, common_words, line_key, line_roles, render
+from linkspark.llm.main_content import Labels, blocks, common_words, line_key, line_roles, main_texts, render
 from linkspark.llm.mixture import VOCABULARY, mix_sources, rake, token_counts
 from linkspark.llm.sentences import sentence_units
 
@@ -99,6 +99,14 @@ def test_line_roles_edges(spark):
     assert {k[0] for k in got} == {1, 2, 5} and line_roles(df.limit(0)).count() == 0
 
 
+def test_main_texts(spark):
+    page = "<body><nav>Home</nav><h1>Head</h1><p>One.</p><ol><li>a<li>b</ol><table><tr><td>x<td>yy<tr><td>zzz<td>w</table><aside>Ad</aside></body>"
+    rows = [(1, "Head", page, "Home\nHead\nOne.\nAd"), (2, "Own", None, "Menu\nOwn\nWords of it.\nAd"), (3, "Head", page, None), (4, "x", None, None), (5, "Own", "<p", "Own"), (None, "x", page, "Head")]
+    got = {r["id"]: r["text"] for r in main_texts(spark.createDataFrame(rows, "page_id long, title string, html string, text string")).collect()}
+    body = "Head\n\nOne.\n\n1. a\n2. b\n\nx    yy\nzzz  w"
+    assert got == {1: body, 2: "Own\n\nWords of it.", 3: body, 4: "", 5: "Own"}
+
+
 def test_headings_and_common_words_of_all_pages(spark):
     page = "<body><h1>{0}</h1><p>Some words of {0} and Zanzibar.</p><aside><h3>Read {1} too</h3></aside></body>"
     rows = [(k, f"Head{k}", page.format(f"Head{k}", f"n{k % 20}"), f"Head{k}\nSome words of Head{k} and Zanzibar.\nRead n{k % 20} too") for k in range(200)]
