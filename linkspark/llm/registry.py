@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkspark.llm.contamination import leaked_items
 from linkspark.llm.languages import fit_model, line_languages, page_languages, stated_language
 from linkspark.llm.main_content import line_roles, main_texts
-from linkspark.llm.mixture import counted, mix_sources
+from linkspark.llm.mixture import Mix, counted, mix_sources
 from linkspark.llm.near_duplicates import near_duplicates
 from linkspark.llm.sentences import sentence_units
 from linkspark.llm.set_pairs import expand_pairs, normal_items, similar_sets
@@ -54,23 +54,34 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_item"), "item_id", ["prompt", "answer"]).select("doc_id", "item_id")
 
 
+def _mix(spark: SparkSession, sf: str) -> Mix:
+    vocabulary = spark.conf.get("spark.linkspark.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    return mix_sources(counted(table(spark, sf, "documents"), vocabulary), table(spark, sf, "mix_target"))
+
+
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
-    return mix_sources(counted(table(spark, sf, "documents")), table(spark, sf, "mix_target"))[0]
+    return _mix(spark, sf).report
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p8_report(spark, sf).where("short").select("source")
+    """The sources that raking leaves below their target."""
+    return _mix(spark, sf).report.where("short").select("source")
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Wanted and fitted shares of the mix by language and topic."""
+    return _mix(spark, sf).shares
 
 
 def p8_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return mix_sources(counted(table(spark, sf, "documents")), table(spark, sf, "mix_target"))[1].withColumnRenamed("id", "doc_id")
+    return _mix(spark, sf).sample.withColumnRenamed("id", "doc_id")
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentence_units(table(spark, sf, "documents"), "doc_id", "text", "msg_start", "msg_end").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pages": p1_pages, "p4_found": p4_found, "p4_text": p4_text, "p2_found": p2_found, "p8_found": p8_found, "p8_report": p8_report, "p8_sample": p8_sample, "p9_found": p9_found, "p7_found": p7_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_pages": p1_pages, "p4_found": p4_found, "p4_text": p4_text, "p2_found": p2_found, "p8_found": p8_found, "p8_report": p8_report, "p8_shares": p8_shares, "p8_sample": p8_sample, "p9_found": p9_found, "p7_found": p7_found, "p6_found": p6_found}
 
 SQL = {
     "p6_found": r"""

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from linkspark.llm.languages import fit_model, line_languages, page_languages, stated_language
 from linkspark.llm.main_content import Labels, blocks, common_words, line_key, line_roles, main_texts, render
-from linkspark.llm.mixture import VOCABULARY, mix_sources, rake, token_counts
+from linkspark.llm import mixture
+from linkspark.llm.mixture import Marginals, mix_sources, rake, rake_table, token_counts
 from linkspark.llm.sentences import sentence_units
 
 SF = "/root/testdata/sf0.01"
@@ -117,24 +118,62 @@ def test_headings_and_common_words_of_all_pages(spark):
     assert common_words(lines) == {"Zanzibar"}
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def test_rake():
-    cells = [("a", "en", "x", 1000), ("a", "de", "y", 500), ("b", "en", "y", 100), ("b", "de", "x", 50)]
-    w = rake(cells, {"a": (0.5, 1), "b": (0.5, 2), "c": (0.1, 3)}, 800)
-    used = np.array([c[3] for c in cells]) * w
-    assert abs(used[:2].sum() - 400) < 1 and abs(used[2:].sum() - 300) < 1 and (w <= [1, 1, 2, 2]).all()
+    langs, topics = ["de", "en"], ["x", "y"]
+    tokens = np.array([[0, 500, 1000, 0], [50, 0, 0, 100], [0, 0, 0, 0.0]])
+    share = lambda k: tokens.reshape(3, 2, 2).sum(axis=(0, k)) / tokens.sum()
+    use, _, _ = rake(tokens, np.array([1.0, 2, 3]), np.array([400.0, 400, 80]), Marginals(langs, topics, share(2), share(1)))
+    assert abs(use[0].sum() - 400) < 1e-6 and use[1].sum() == 300 and use[2].sum() == 0 and (use <= tokens * [[1], [2], [3]]).all()
+
+
+def test_rake_meets_marginals_in_both_ways(spark):
+    rng = np.random.default_rng(3)
+    tokens = np.round(rng.gamma(0.5, 400, (40, 6)))
+    repeats, goal = rng.integers(1, 6, 40).astype(float), tokens.sum(axis=1) * rng.uniform(0.2, 1.5, 40)
+    make = lambda: Marginals(["a", "b", "c"], ["x", "y"], np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4]))
+    use, _, done = rake(tokens, repeats, goal, make())
+    assert done and np.allclose(use.sum(axis=1), np.minimum(goal, (tokens * repeats[:, None]).sum(axis=1)))
+    cube = use.reshape(-1, 3, 2).sum(axis=0) / use.sum()
+    assert np.allclose(cube.sum(axis=1), [0.5, 0.3, 0.2], atol=1e-5) and np.allclose(cube.sum(axis=0), [0.6, 0.4], atol=1e-5)
+    rows = spark.createDataFrame([(f"s{k:02d}", [float(x) for x in tokens[k]], float(repeats[k]), float(goal[k])) for k in range(40)], "source string, tokens array<double>, repeats double, goal double")
+    for limit in (100, 5):
+        table, _, done = rake_table(rows, make(), precision=1e-3, local_rows=limit)
+        got = {r["source"]: r["use"] for r in table.collect()}
+        assert done and np.allclose([got[f"s{k:02d}"] for k in range(40)], use, rtol=0.05, atol=2)
 
 
 @pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
-def test_mixture(spark):
+def test_mixture(spark, monkeypatch):
     rows = [(k, "word " * (k % 7 + 1), s, "en") for k, s in enumerate([" Big", "big", "BIG ", "small", None, "other"] * 60)] + [(9999, None, "big", None), (9998, "", "small", "und"), (None, "x", "big", "xx")]
     docs = spark.createDataFrame(rows, "tokens long, copies string, weight string, topic string")
-    counts = token_counts(docs, "tokens", "copies", "weight", "topic").cache()
+    counts = token_counts(docs, "tokens", "copies", "weight", "topic", VOCABULARY).cache()
     goal = spark.createDataFrame([("big", 0.3, 1), ("Small ", 0.7, 2), ("none", 0.1, 5), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
-    report, sample = mix_sources(counts, goal)
-    r = {x["source"]: x for x in report.collect()}
+    mix = mix_sources(counts, goal)
+    r = {x["source"]: x for x in mix.report.collect()}
     total = counts.agg(F.sum("tokens")).first()[0]
-    assert set(r) == {"big", "small", "none"} and r["small"]["short"] and r["none"]["short"] and not r["big"]["short"]
+    assert set(r) == {"big", "small", "none"} and r["small"]["short"] and r["none"]["short"] and not r["big"]["short"] and mix.converged
     assert r["small"]["mix_tokens"] == 2 * r["small"]["tokens"] and abs(r["big"]["mix_tokens"] - 0.15 * total) < 0.1 * total and abs(sum(x["mix_share"] for x in r.values()) - 1) < 1e-9
-    assert sample.where("copies > 2 or (source = 'big' and copies > 1)").count() == 0
-    report, sample = mix_sources(counts.limit(0), goal)
-    assert report.agg(F.sum("mix_tokens")).first()[0] == 0 and sample.count() == 0
+    assert mix.sample.where("copies > 2 or (source = 'big' and copies > 1)").count() == 0
+    assert {(s["kind"], s["name"]) for s in mix.shares.collect()} >= {("language", "en"), ("topic", "none")}
+    empty = mix_sources(counts.limit(0), goal)
+    assert empty.report.agg(F.sum("mix_tokens")).first()[0] == 0 and empty.sample.count() == 0
+    many = spark.createDataFrame([(f"s{k}", 0.0001, 1) for k in range(3000)] + [("big", 0.3, 1)], "source string, target_share double, max_repeats int")
+    assert mix_sources(counts, many).report.where("not short").select("source").collect()[0][0] == "big"
+    with pytest.raises(FileNotFoundError):
+        token_counts(docs, "tokens", "copies", "weight", "topic", "/no/such/file")
+    # what is short comes from the fitted uses
+    monkeypatch.setattr(mixture, "rake", lambda t, *_: (t * 0, 1, True))
+    assert mix_sources(counts, goal).report.where("short").count() == 3
+
+
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
+def test_mixture_to_language_shares(spark):
+    rows = [(k, f"word {k}", "a" if k % 3 else "b", "en" if k % 5 else "de") for k in range(600)]
+    counts = token_counts(spark.createDataFrame(rows, "id long, t string, s string, l string"), "id", "t", "s", "l", VOCABULARY)
+    goal = spark.createDataFrame([("a", 0.5, 4), ("b", 0.5, 4)], "source string, target_share double, max_repeats int")
+    mix = mix_sources(counts, goal, languages=spark.createDataFrame([("DE ", 0.5), ("en", 0.5), ("fr", 0.3)], "l string, s double"))
+    got = {r["name"]: (r["wanted"], r["fitted"]) for r in mix.shares.where("kind = 'language'").collect()}
+    assert mix.converged and set(got) == {"de", "en"} and all(abs(w - 0.5) < 1e-9 and abs(f - 0.5) < 1e-4 for w, f in got.values())
