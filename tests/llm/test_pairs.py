@@ -2,22 +2,24 @@
 
 import random
 import re
+from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from linkspark.llm.contamination import leaked_items
 from linkspark.llm.near_duplicates import WORD, near_duplicates
-from linkspark.llm.set_pairs import expand_pairs, normal_items, similar_between, similar_sets
+from linkspark.llm.set_pairs import _keys, cell_links, expand_pairs, normal_items, pivot_cells, similar_between, similar_sets
 
 
 def pairs(links, members):
     return sorted(map(tuple, expand_pairs(links.select("a", "b"), members).collect()))
 
 
-def brute_sets(rows, t):
+def brute_sets(rows, t, least=3):
     sets = {k: {x for x in (re.sub(r"[-_\s]+", " ", y.lower()).strip() for y in v or [] if y is not None) if x} for k, v in rows if k is not None}
-    sets = {k: s for k, s in sets.items() if len(s) >= 3}
+    sets = {k: s for k, s in sets.items() if len(s) >= least}
     return sorted((a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-9)
 
 
@@ -45,7 +47,52 @@ def test_similar_sets_hot_groups_and_edges(spark):
     links, members = similar_sets(df.limit(0), "id", normal_items(F.col("tags")))
     assert links.count() == members.count() == 0
     with pytest.raises(ValueError):
-        similar_sets(df, "id", normal_items(F.col("tags")), 0.5, 3, 0.3)
+        similar_sets(df, "id", normal_items(F.col("tags")), 0.5, 3, 0.5)
+
+
+@pytest.mark.parametrize("threshold,cover,largest", [(0.6, 0.2, 60), (0.3, 0.1, 30), (0.8, 0.3, 5), (0.5, 0.0, 20)])
+def test_similar_sets_of_any_size(spark, threshold, cover, largest):
+    rng = random.Random(largest)
+    rows = []
+    for k in range(200):
+        if rows and rng.random() < 0.6:
+            tags = list(rng.choice(rows)[1])
+            for _ in range(rng.randrange(0, 1 + len(tags) // 4)):
+                tags[rng.randrange(len(tags))] = f"t{rng.randrange(400)}"
+        else:
+            tags = [f"t{rng.randrange(400)}" for _ in range(rng.randrange(1, largest))]
+        rows.append((k, tags + ["hot"] * rng.randrange(2)))
+    df = spark.createDataFrame(rows, "id long, tags array<string>")
+    links, members = similar_sets(df, "id", normal_items(F.col("tags")), threshold, 1, cover)
+    assert pairs(links, members) == brute_sets(rows, threshold, 1)
+
+
+def test_every_link_of_sets_comes_from_a_cell(spark):
+    """Each set is hosted once, within `cover` of its pivot, and a link lies in the cell that hosts its larger end."""
+    rng = random.Random(9)
+    base = [[f"t{rng.randrange(900)}" for _ in range(8)] for _ in range(60)]
+    rows = [(k, [x if rng.random() < 0.9 else f"t{rng.randrange(900)}" for x in rng.choice(base)]) for k in range(300)]
+    codes = sorted({tuple(sorted(set(t))) for _, t in rows})
+    count = Counter(x for c in codes for x in c)
+    code = {x: n for n, x in enumerate(count)}
+    sized = [(k, [code[x] for x in sorted((x for x in c if count[x] > 1), key=lambda x: (count[x], code[x]))], len(c)) for k, c in enumerate(codes)]
+    df = spark.createDataFrame([(k, o, n, len(o)) for k, o, n in sized if o], "id long, o array<long>, n int, m int")
+    hosts, visits = pivot_cells(df, 0.6, 0.2)
+    far = lambda a, b: 1 - len(set(codes[a]) & set(codes[b])) / len(set(codes[a]) | set(codes[b]))
+    home = {r["id"]: r["pivot"] for r in hosts.collect()}
+    assert hosts.count() == df.count() == len(home) and all(far(k, p) <= 0.2 + 1e-9 for k, p in home.items()) and len(set(home.values())) < len(home)
+    links = cell_links(df, hosts, visits, 0.6).collect()
+    assert all(home[r["b"]] == r["pivot"] for r in links)
+    assert sorted((r["a"], r["b"]) for r in links) == [(a, b) for a in range(len(codes)) for b in range(a + 1, len(codes)) if far(a, b) <= 0.4 + 1e-9]
+
+
+def test_large_sets_are_indexed_by_single_items(spark):
+    rows = [(k, [f"t{k % 4}-{x}" if x % 12 else f"u{k}-{x}" for x in range(1000)]) for k in range(24)]
+    df = spark.createDataFrame(rows, "id long, tags array<string>")
+    links, members = similar_sets(df, "id", F.col("tags"))
+    assert pairs(links, members) == brute_sets(rows, 0.6)
+    o = spark.createDataFrame([(1, list(range(1000)), 1000, 1000)], "id long, o array<long>, n int, m int")
+    assert _keys(o, Fraction(2, 5)).count() <= 1000
 
 
 def test_similar_between_tables(spark):
