@@ -82,20 +82,35 @@ def masked_stops() -> str:
         rf"(?=\s+\d)(?<={word}(?:{'|'.join(BEFORE_NUMBER.split())})[.])",
         rf"(?=\s+(?:{'|'.join(MONTHS.split())}))(?<={word}\d{{1,2}}[.])",
         r"(?=\s+\p{Lu})(?<=(?<![\p{L}\p{N}\p{M}.])\p{Lu}[.])",
-        rf"(?<={word}(?:ad\s{{1,9}}es|dott[.]ssa|sig[.]ra|d[.]w[.]z)[.])",
+        rf"(?<={word}(?:dott[.]ssa|sig[.]ra|d[.]w[.]z)[.])",
         rf"{going}(?<={word}(?:{'|'.join(OPEN.split())})[.])",
-        rf"{going}(?<=[.\p{{L}}][.]\p{{L}}[.]|[.][.][.]|://[^\s]{{1,300}}[.])",
-        r"(?=\S)(?<=://[^\s]{1,300}[.])",
+        rf"{going}(?<=[.\p{{L}}][.]\p{{L}}[.]|[.][.][.])",
     ]
-    for pair in TWO_PART.split("|"):
-        a, b = pair.split()
-        rules += [rf"(?=\s{{0,9}}{b}[.])(?<={word}{a}[.])", rf"(?<={word}{a}[.]\s{{0,9}}{b}[.])"]
     return "[.](?:" + "|".join(rules) + ")"
 
 
+def _two_part(x: str) -> str:
+    """Both stops of the abbreviations of two parts masked, whatever blanks are between."""
+    pairs = [p.split() for p in TWO_PART.split("|")]
+    known = "|".join(rf"{a}[.]\s*+{b}[.]" for a, b in pairs)
+    first = rf"(?<![\p{{L}}\p{{N}}\p{{M}}])(?={known})(\p{{L}}++)[.](\s*+)(\p{{L}}++)[.]"
+    x = _replace(x, first, f"$1{MASK}$2$3{MASK}")
+    return _replace(x, r"(?<![\p{L}\p{N}\p{M}])(ad\s++es)[.]", f"$1{MASK}")
+
+
+def _urls(x: str) -> str:
+    """Stops inside urls masked, and one behind a url where the sentence goes on."""
+    going = rf"(?=\s+(?:{'|'.join(CONTINUES.split())})(?![\p{{L}}\p{{N}}]))"
+    head = r"regexp_extract(s, '^\\S*', 0)"
+    inner = _replace(head, r"(?<!^)[.](?=\S)", MASK)
+    tail = _replace(f"concat({inner}, substring(s, length({head}) + 1))", rf"^(\S+)[.]{going}", f"$1{MASK}")
+    made = f"array_join(transform(split({x}, '://', -1), (s, i) -> if(i > 0, {tail}, s)), '://')"
+    return f"if(contains({x}, '://'), {made}, {x})"
+
+
 def masking_steps() -> list:
     """SQL-to-SQL steps that mask the marks which end nothing; each keeps the length."""
-    return [lambda x: _replace(x, masked_stops(), MASK), _straight, *[lambda x, p=p: _enclosed(x, p[0], p[1]) for p in PAIRS]]
+    return [_two_part, _urls, lambda x: _replace(x, masked_stops(), MASK), _straight, *[lambda x, p=p: _enclosed(x, p[0], p[1]) for p in PAIRS]]
 
 
 def boundary_rule() -> tuple[str, str]:
@@ -149,7 +164,8 @@ def sentence_units(docs: DataFrame, id_col: str, text: str, start: str | None =
     )
     df = df.select("id", F.expr(f"inline(concat(array(head), {items}))")).where(F.expr(r"t RLIKE '\\S'"))
     # masks, each a column of its own so that no step is computed twice
-    df = df.withColumn("masked", F.col("t"))
+    # the two signs may stand in the text itself; there they count as a third one
+    df = df.withColumn("masked", F.translate("t", MASK + BREAK, "\ue002\ue002"))
     for step in masking_steps():
         df = df.withColumn("masked", F.when(F.col("kind") == 2, F.expr(step("masked"))))
     split = _placed(f"split({_replace('masked', *boundary_rule())}, '{BREAK}', -1)", "at")
