@@ -75,7 +75,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def segments(line: str) -> list[str]:
     pieces = CUT.split(line)
-    if len(line) > 40 and max(line) >= "\u0e00":
+    if line and max(line) >= "\u0e00":
         pieces = [part for piece in pieces for part in FOREIGN.split(piece)]
     return pieces
 

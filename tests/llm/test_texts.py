@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkspark.llm.languages import fit_model, line_languages, page_languages, stated_language
+from linkspark.llm.languages import fit_model, line_languages, page_languages, segments, stated_language
 from linkspark.llm.main_content import Labels, blocks, common_words, line_key, line_roles, main_texts, render
 from linkspark.llm import mixture
 from linkspark.llm.mixture import Marginals, mix_sources, rake, rake_table, token_counts
@@ -35,6 +35,8 @@ def test_sentences(spark):
         6: (first + "ทีมงานของ Lumor ทำความ ในรุ่น 7.1 คณะ\nกรรม", ["ทีมงานของ Lumor ทำความ", "ในรุ่น 7.1 คณะ\nกรรม"]),
         7: (first + "डॉ. राम आए। वे गए। क्या?", ["डॉ. राम आए।", "वे गए।", "क्या?"]),
         8: (first + "lower case. the next one. pause... then on. at 5 p.m. and later.", ["lower case.", "the next one.", "pause... then on.", "at 5 p.m. and later."]),
+        10: (first + "One\ue001two\ue000. Three four.\ue001 Five.", ["One\ue001two\ue000.", "Three four.\ue001 Five."]),
+        11: (first + "See https://a.example/" + "x.y" * 400 + ". It ends. At http://b.example/" + "p.q" * 400 + ". and on. Das z." + " " * 40 + "B. hier, d.h. dort. Ecco ad   es. Roma, poi. Fine", ["See https://a.example/" + "x.y" * 400 + ".", "It ends.", "At http://b.example/" + "p.q" * 400 + ". and on.", "Das z." + " " * 40 + "B. hier, d.h. dort.", "Ecco ad   es. Roma, poi.", "Fine"]),
         9: (first + "🎉 Emoji first. Second 🎉 one.", ["🎉 Emoji first.", "Second 🎉 one."]),
     }
     got = units(spark, [(k, t) for k, (t, _) in cases.items()] + [(20, None), (21, ""), (22, " \n\t\n "), (23, "only")])
@@ -74,6 +76,11 @@ def test_language_model_on_held_out_samples(spark):
     assert line_languages(odd.limit(0), "page_id", "text", model).count() == 0
 
 
+def test_segments_of_short_lines():
+    assert segments("これは短い文です the quick brown fox jumps") == ["これは短い文です", "the quick brown fox jumps"]
+    assert segments("") == [""]
+
+
 HTML = """<html><head><title>T</title><script>var a="</p><p>no";</script></head><body><nav><a href=1>Home</a><a href=2>About</a></nav>
 <div class="x"><h1>Head</h1><p>First <b>bold</b> text.<p>Second.<div class=ad>Buy now</div><ul><li>one<li>two</ul><blockquote>Said.</blockquote>
 <p style="display: none">hidden</p><table><tr><td>a<td>bbb<tr><td>cccc</td><td>d</td></tr></table></div><aside>Aside</aside><h3>More</h3><li><a href=#>Teaser</a></li><footer>Foot</footer></body></html>"""
