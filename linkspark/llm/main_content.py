@@ -1,10 +1,12 @@
 """Main content of web pages by layout-aware rendering.
 
 A tree builder with implied end tags and visibility rules walks a page once and
-emits every visible block with the state of its ancestors: block spacing, list
-markers and aligned table cells are kept in the rendering.  The article is the
-run of blocks around the headline whose ancestors below the headline's container
-carry neither a noise tag nor a class or id of their own and which aren't links.
+emits every visible block with its place in the layout: block spacing, list
+markers and aligned table cells are kept in the rendering.  Whether a rendered block
+is of the article is decided by what speaks against it (:func:`evidence`): its place
+outside the element that holds the headline and the text, link density, layout as a trail
+or comment or box behind the text, and its repetition under other headlines of
+the same site or of all sites, counted over the whole corpus (:func:`repeated`).
 
 The lines of a page's stored text are matched with its blocks by their letters
 and digits.  Lines without a matching block (pages without html) are decided by a
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm.samples import bounded_sample
+from linkspark.workspace import materialise
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -39,7 +42,9 @@ IMPLIED = {
 }
 #: An end tag closes nothing beyond these.
 WALLS = frozenset("table td th body html".split())
-NOISE = frozenset("nav aside footer header form small a button select figure menu dialog span h3 h4 h5 h6 address label".split())
+#: Elements whose content is never the article's, and those that speak against it.
+NOISE = frozenset("nav aside footer form button select menu dialog".split())
+ASIDE = frozenset("header small address label figure".split())
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|visibility\s*:\s*hidden|type\s*=\s*[\"']?hidden", re.I)
 MARKED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=", re.I)
 SENTENCE_END = re.compile(r"[.!?…。！？।؟]\s*\Z")
@@ -48,12 +53,12 @@ SPACES = re.compile(r"\s+")
 
 class Block:
     """A visible block: ``path`` holds (serial, tag, marked, list number, hidden) of the
-    elements it lies in, ``cell`` the serials of its table row and cell."""
+    elements it lies in, ``cell`` the serials of its table row and cell, ``linked`` the share of its characters in links."""
 
-    __slots__ = ("text", "tag", "path", "cell")
+    __slots__ = ("text", "tag", "path", "cell", "linked")
 
-    def __init__(self, text: str, tag: str, path: tuple, cell: tuple | None) -> None:
-        self.text, self.tag, self.path, self.cell = text, tag, path, cell
+    def __init__(self, text: str, tag: str, path: tuple, cell: tuple | None, linked: float = 0.0) -> None:
+        self.text, self.tag, self.path, self.cell, self.linked = text, tag, path, cell, linked
 
 
 def blocks(html: str) -> list[Block]:
@@ -63,26 +68,27 @@ def blocks(html: str) -> list[Block]:
     buffer: list[str] = []
     hidden = serial = 0
     places: list[tuple] = []
+    sizes: list[int] = []
     counts: dict[int, int] = {}
 
     def flush() -> None:
         if buffer:
             text = SPACES.sub(" ", entities.unescape("".join(buffer))).strip()
             if text:
-                # what all its pieces lie in; separate links count as one
+                # what all its pieces lie in
                 path = places[0]
                 for other in places[1:]:
                     if other is not path:
                         n = min(len(path), len(other))
                         path = path[: next((k for k in range(n) if path[k][0] != other[k][0]), n)]
-                if not any(e[1] == "a" for e in path) and all(any(e[1] == "a" for e in x) for x in places):
-                    path += ((-1, "a", False, 0, 0),)
                 tag = next((e[1] for e in reversed(path) if e[1] in BLOCKS), "body")
                 cell = next((e[0] for e in reversed(path) if e[1] in ("td", "th")), None)
                 row = next((e[0] for e in reversed(path) if e[1] == "tr"), None)
-                out.append(Block(text, tag, path, (row, cell) if cell is not None else None))
+                links = sum(n for n, x in zip(sizes, places) if any(e[1] == "a" for e in x))
+                out.append(Block(text, tag, path, (row, cell) if cell is not None else None, links / max(sum(sizes), 1)))
             buffer.clear()
             places.clear()
+            sizes.clear()
 
     def pop(at: int) -> None:
         nonlocal hidden
@@ -98,6 +104,7 @@ def blocks(html: str) -> list[Block]:
                 buffer.append(text)
                 if not text.isspace():
                     places.append(tuple(stack))
+                    sizes.append(len(text.strip()))
             continue
         tag = m.group(3)
         if tag is None:
@@ -189,18 +196,90 @@ def render_blocks(found: list[Block]) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
 
 
-def in_article(found: list[Block]) -> list[bool]:
-    """Which blocks belong to the page's own article."""
-    head = next((b for b in found if b.tag == "h1"), None)
-    if head is None:
-        return [not any(e[1] in NOISE or e[2] for e in b.path) and b.tag not in ("td", "th") for b in found]
-    at = max(k for k, e in enumerate(head.path) if e[1] == "h1")
-    home = head.path[at - 1][0] if at else 0
-    out = []
-    for b in found:
-        place = next((k for k, e in enumerate(b.path) if e[0] == home), None) if home else -1
-        out.append(place is not None and not any(e[1] in NOISE or e[2] for e in b.path[place + 1 :]))
-    return out
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: A reader's comment: a name, a date in brackets and a colon.
+COMMENT = re.compile(r"[^\s()][^()]*\((?=[^()]*\d)[^()]+\)\s?[:：]")
+#: Short names with signs of descent between them.
+TRAIL = re.compile(r"[^.!?。>›»]+(?:\s[>›»→]\s[^.!?。>›»]+)+")
+HOST = re.compile(r"(?<![A-Za-z0-9.-])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[a-z]{2,}(?![A-Za-z0-9])")
+PROPER = re.compile(r"(?<![A-Za-z])[A-Z][A-Za-z'’-]+")
+OUT = 9
+
+
+def kind_of(b: Block) -> str:
+    """What a block is in the rendering: heading, item, cell or paragraph."""
+    if b.tag in HEADINGS:
+        return "heading"
+    if any(e[1] in ("li", "dt", "dd") for e in b.path):
+        return "item"
+    return "cell" if b.cell is not None else "paragraph"
+
+
+def headline_of(found: list[Block]) -> int | None:
+    return next((k for k, b in enumerate(found) if b.tag == "h1"), None)
+
+
+def evidence(found: list[Block]) -> list[int]:
+    """What in the rendering of each block speaks against its being of the article; from 2 on
+    it is held to be outside, repetition on other pages (see :func:`repeated`) counting 2.
+
+    The article lies in the innermost element around the headline that has text of its own
+    besides.  In there count: elements made for other purposes, link density, trails of
+    names, comments, a heading right above links, short lines with figures next to the headline,
+    a box of its own behind the last of the text, host names.  A class, id or role
+    counts 1 and so never decides alone."""
+    at = headline_of(found)
+    kinds = [kind_of(b) for b in found]
+    plain = [len(b.text) if b.linked < 0.5 and not any(e[1] in NOISE for e in b.path) else 0 for b in found]
+    depth, home = 0, 0
+    if at is not None:
+        plain[at] = 0
+        path = found[at].path
+        depth = max(k for k, e in enumerate(path) if e[1] == "h1")
+        enough = 0.1 * sum(plain)
+        while depth > 0:
+            home = path[depth - 1][0]
+            if sum(n for n, b in zip(plain, found) if any(e[0] == home for e in b.path)) >= enough:
+                break
+            depth -= 1
+    direct = {next((e[0] for e in reversed(b.path) if e[1] in BLOCKS), 0) for b in found}
+    out, boxes = [], []
+    for k, b in enumerate(found):
+        if depth and not (len(b.path) >= depth and b.path[depth - 1][0] == home):
+            out.append(OUT)
+            boxes.append(0)
+            continue
+        below = b.path[depth:]
+        n = 0
+        if any(e[1] in NOISE for e in below):
+            n += 2
+        if any(e[1] in ASIDE for e in below) and k != at:
+            n += 1
+        if any(e[2] for e in below):
+            n += 1
+        if b.linked >= 0.8:
+            n += 2
+        if kinds[k] == "heading" and k != at and k + 1 < len(found) and found[k + 1].linked >= 0.8:
+            n += 2
+        if kinds[k] != "heading" and TRAIL.fullmatch(b.text) and len(b.text) < 120:
+            n += 2
+        if COMMENT.match(b.text):
+            n += 2
+        if HOST.search(b.text):
+            n += 1
+        if kinds[k] == "paragraph" and at is not None and 0 < abs(k - at) <= 2 and short_line(b.text) and any(c.isdigit() for c in b.text):
+            n += 1
+        out.append(n)
+        # elements without text of their own are boxes
+        boxes.append(next((e[0] for e in below if e[1] in ("div", "section", "article") and e[0] not in direct), 0))
+    flow = [k for k in range(len(found)) if out[k] == 0 and not boxes[k] and k != at]
+    inside = sum(len(found[k].text) for k in range(len(found)) if out[k] < 2)
+    last = flow[-1] if flow and 2 * sum(len(found[k].text) for k in flow) > inside else len(found)
+    return [n + 1 if boxes[k] and k > last and n < OUT else n for k, n in enumerate(out)] if at is not None else out
+
+
+def short_line(text: str) -> bool:
+    return len(text) <= 80 and not SENTENCE_END.search(text)
 
 
 KEY = re.compile(r"[\W_]+")
@@ -210,33 +289,17 @@ def line_key(text: str) -> str:
     return KEY.sub("", text.lower())
 
 
-class Labels:
-    """The lines of a text with the flag of their block: True in the article, False outside, None unmatched."""
-
-    @staticmethod
-    def of(html: str, text: str) -> list[tuple[int, str, bool | None, str]]:
-        found = blocks(html)
-        return Labels.of_blocks(found, in_article(found), text)
-
-    @staticmethod
-    def of_blocks(found: list[Block], flags: list[bool], text: str) -> list[tuple[int, str, bool | None, str]]:
-        places: dict[str, list] = defaultdict(list)
-        for b, flag in zip(found, flags):
-            places[line_key(b.text)].append((flag, b.tag))
-        out = []
-        for k, line in enumerate(text.split("\n"), 1):
-            if not line.strip():
-                continue
-            key = line_key(line)
-            at = places.get(key)
-            flag, tag = (at.pop(0) if len(at) > 1 else at[0]) if at else (None, "")
-            out.append((k, line, flag, tag))
-        return out
-
-
-#: A reader's comment: a name, a date in brackets and a colon.
-COMMENT = re.compile(r"[^\s()].{0,60}\((?=[^()]*\d)[^()]{3,25}\)\s?[:：]")
-HOST = re.compile(r"\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}\b")
+def matched(found: list[Block], text: str) -> list[tuple[int, str, int | None]]:
+    """The non-blank lines of a text (from 1), each with the block that shows it, if there is one."""
+    places: dict[str, list[int]] = defaultdict(list)
+    for k, b in enumerate(found):
+        places[line_key(b.text)].append(k)
+    out = []
+    for n, line in enumerate(text.split("\n"), 1):
+        if line.strip():
+            at = places.get(line_key(line))
+            out.append((n, line, (at.pop(0) if len(at) > 1 else at[0]) if at else None))
+    return out
 
 
 def plain_line(line: str) -> str:
@@ -244,23 +307,33 @@ def plain_line(line: str) -> str:
     return re.sub(r"\d+", "0", HOST.sub("\u0001", line))
 
 
+def repeat_key(b: Block, kind: str) -> str:
+    """A block's text with hosts made alike; outside lists and tables, whose figures are what they tell,
+    with figures made alike too, and in short lines without an end mark the names."""
+    if kind in ("item", "cell"):
+        return SPACES.sub(" ", HOST.sub("\u0001", b.text).lower())
+    text = plain_line(b.text)
+    if kind == "paragraph" and short_line(b.text):
+        text = PROPER.sub("\u0002", text)
+    return SPACES.sub(" ", text.lower())
+
+
 NAME = re.compile(r"[A-Z][a-z]{3,}")
 
 
 class LineModel:
     """Naive Bayes of article and other lines, with the capitalised words that are too common for names."""
 
-    def __init__(self, rows: list[tuple[str, str]], common: set[str]) -> None:
+    def __init__(self, rows: list[tuple[str, bool]], common: set[str]) -> None:
+        """``rows`` are lines and whether they are of an article."""
         from linkspark.llm.languages import TOKEN as WORD
         from linkspark.llm.languages import Model, _gram_counts
 
         self.word = WORD
         self.common = common
         seen = {True: Counter(), False: Counter()}
-        for html, text in rows:
-            for _, line, flag, _ in Labels.of(html, text):
-                if flag is not None:
-                    seen[flag].update(WORD.findall(plain_line(line)))
+        for line, flag in rows:
+            seen[flag].update(WORD.findall(plain_line(line)))
         # some of each class, so that an empty sample gives a model that favours the article
         seen[True].update(["\u0001"])
         seen[False].update(["\u0001"])
@@ -318,47 +391,50 @@ def _hash(key: str) -> int:
     return xxhash.xxh64_intdigest(key) - (1 << 63)
 
 
-LINES = "id long, line_no long, key long, main boolean, line string, heading boolean, words array<string>"
+UNITS = "id long, site long, head long, line_no long, block int, key long, like long, against int, line string, heading boolean, words array<string>"
 
 
-def _lines_of_html(rendered: bool = False):
-    """Lines of pages: ``heading`` marks headings outside the article; a page's first line has
-    the capitalised ``words`` of the page if that has html.  ``rendered``: also, as line 0, the
-    article of a page whose html shows one."""
-    from linkspark.llm.languages import TOKEN as WORD
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of the texts of (id, site, html, text), with the block that shows each, and the blocks that no line shows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, nos, keys, flags, lines, headings, words = [], [], [], [], [], [], []
-            for doc, html, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                source, text = html.as_py(), text.as_py() or ""
-                body = ""
-                if source and source.strip():
-                    shown = blocks(source)
-                    inside = in_article(shown)
-                    found = Labels.of_blocks(shown, inside, text)
-                    # broken html shows no line of the text
-                    if rendered and (not found or any(flag is not None for _, _, flag, _ in found)):
-                        body = render_blocks([b for b, own in zip(shown, inside) if own])
-                else:
-                    found = [(k, x, None, "") for k, x in enumerate(text.split("\n"), 1) if x.strip()]
-                if found:
-                    words += [sorted({w for _, line, _, _ in found for w in WORD.findall(line) if NAME.fullmatch(w)}) if source else None, *[None] * (len(found) - 1)]
-                for k, line, flag, tag in found:
-                    ids.append(doc)
-                    nos.append(k)
-                    keys.append(_hash(line_key(line)))
-                    flags.append(flag)
-                    lines.append(line if flag is None else None)
-                    headings.append(flag is False and tag in ("h3", "h4", "h5", "h6"))
-                if body:
-                    for column, x in ((ids, doc), (nos, 0), (keys, None), (flags, None), (lines, body), (headings, False), (words, None)):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(nos, pa.int64()), pa.array(keys, pa.int64()), pa.array(flags, pa.bool_()), pa.array(lines, pa.string()), pa.array(headings, pa.bool_()), pa.array(words, pa.list_(pa.string()))],
-                ["id", "line_no", "key", "main", "line", "heading", "words"])
+    ``key`` and ``like`` are hashes of the text and of its :func:`repeat_key`, ``head`` of the page's headline.
+    A page's first row has the capitalised ``words`` of the page's lines if it has html."""
+    from linkspark.llm.languages import TOKEN as WORD
 
-    return run
+    names = [x.split()[0] for x in UNITS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.string())]
+    for batch in batches:
+        rows: list[tuple] = []
+        for doc, site, html, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            source, text = html.as_py(), text.as_py() or ""
+            shown = blocks(source) if source and source.strip() else []
+            against, at = evidence(shown), headline_of(shown)
+            # a page without headline stands for itself
+            head = _hash(line_key(shown[at].text)) if at is not None else doc
+            found = matched(shown, text)
+            words = sorted({w for _, line, _ in found for w in WORD.findall(line) if NAME.fullmatch(w)}) if source else None
+            facts = []
+            for k, b in enumerate(shown):
+                like = repeat_key(b, kind_of(b))
+                facts.append((k, _hash(line_key(b.text)), _hash(like), against[k] if k != at else min(against[k], 0), None, b.tag in HEADINGS[1:]))
+            for n, line, k in found:
+                rows.append((doc, site, head, n, *(facts[k] if k is not None else (None, _hash(line_key(line)), None, None, line, False)), words))
+                words = None
+            for k in set(range(len(shown))).difference(k for _, _, k in found):
+                rows.append((doc, site, head, None, *facts[k], words))
+                words = None
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
+
+
+def repeated(units: DataFrame, pages: int, least: int = 3, site_share: float = 0.02, all_share: float = 0.001) -> tuple[DataFrame, DataFrame]:
+    """``(site, key)`` of the blocks under ``least`` different headlines and ``site_share`` of all headlines of
+    a site, and ``like`` of those under ``least`` and ``all_share`` times ``pages`` headlines anywhere."""
+    open_ = units.where("against < 2")
+    heads = units.where("words is not null").select("site", "head").distinct().groupBy("site").agg(F.count("*").alias("heads"))
+    here = open_.where("site is not null").select("site", "key", "head").distinct().groupBy("site", "key").agg(F.count("*").alias("n")).where(f"n >= {least}")
+    here = here.join(heads, "site").where(F.col("n") >= site_share * F.col("heads")).select("site", "key")
+    there = open_.select("like", "head").distinct().groupBy("like").agg(F.count("*").alias("n")).where(F.col("n") >= max(least, all_share * pages)).select("like")
+    return here, there
 
 
 def _decider(shared):
@@ -378,29 +454,55 @@ def _decider(shared):
     return run
 
 
-def common_words(lines: DataFrame) -> set[str]:
-    """Capitalised words on more than 3 and more than one in a hundred of all pages with html.
+def common_words(lines: DataFrame, pages: int) -> set[str]:
+    """Capitalised words on more than 3 and more than one in a hundred of all ``pages`` with html.
     Their number is bounded by a hundred times the words of a page."""
-    own = lines.where("words is not null")
-    n = own.count()
-    counts = own.select(F.explode("words").alias("word")).groupBy("word").count()
-    return {r["word"] for r in counts.where(F.col("count") > max(3, 0.01 * n)).select("word").collect()}
+    counts = lines.where("words is not null").select(F.explode("words").alias("word")).groupBy("word").count()
+    return {r["word"] for r in counts.where(F.col("count") > max(3, 0.01 * pages)).select("word").collect()}
+
 
+def fit_lines(pages: DataFrame, lines: DataFrame, common: set[str], fit_pages: int = 1500) -> LineModel:
+    """The line model of the decided lines of at most ``fit_pages`` pages(page_id, html, text) with html, in the order of a hash of their id."""
+    rows = bounded_sample(pages.where("length(html) > 0 and length(text) > 0").select("page_id", "text"), "page_id", fit_pages)
+    chosen = pages.sparkSession.createDataFrame([(r["page_id"],) for r in rows], "id long")
+    flags = {(r["id"], r["line_no"]): r["main"] for r in lines.where("main is not null").join(F.broadcast(chosen.distinct()), "id").select("id", "line_no", "main").collect()}
+    labelled = [(line, flags[r["page_id"], k]) for r in rows for k, line in enumerate(r["text"].split("\n"), 1) if (r["page_id"], k) in flags]
+    return LineModel(labelled, common)
 
-def fit_lines(pages: DataFrame, common: set[str], fit_pages: int = 1500) -> LineModel:
-    """The line model of at most ``fit_pages`` pages(page_id, html, text) with html, in the order of a hash of their id."""
-    rows = bounded_sample(pages.where("length(html) > 0 and length(text) > 0").select("page_id", "html", "text"), "page_id", fit_pages)
-    return LineModel([(r["html"], r["text"]) for r in rows], common)
+
+def _decided(own: DataFrame) -> tuple[DataFrame, int]:
+    """The units of pages with ``main``, null for lines that no block shows, and the number of pages with html."""
+    site = F.xxhash64("domain_id") if "domain_id" in own.columns else F.lit(None).cast("long")
+    units = materialise(own.select(F.col("page_id").cast("long").alias("id"), site.alias("site"), "html", "text").mapInArrow(_units, UNITS), "units")
+    n = units.where("words is not null").count()
+    here, there = repeated(units, n)
+    joined = units.join(here.withColumn("here", F.lit(True)), ["site", "key"], "left").join(there.withColumn("there", F.lit(True)), "like", "left")
+    often = F.coalesce("here", F.lit(False)) | F.coalesce("there", F.lit(False))
+    # the headline itself has 0 or less against it, whatever repeats it
+    main = F.when(F.col("against").isNotNull(), F.col("against") + F.when(often, 2).otherwise(0) < 2)
+    return materialise(joined.select("id", "line_no", "block", "key", main.alias("main"), "line", (F.col("heading") & ~main).alias("heading"), "words"), "decided"), n
 
 
 def line_roles(pages: DataFrame, fit_pages: int = 1500) -> DataFrame:
-    """(id, line_no, main) of each non-blank line of ``pages(page_id, title, html, text)``.
+    """(id, line_no, main) of each non-blank line of ``pages(page_id, title, html, text)``; a column ``domain_id``
+    tells sites apart.
 
     Lines count from 1.  Rows with a null id or text are left out; a null, empty or
     broken html leaves the decision to the line model, as it does for single lines
     that no block matches.  Repeated rows give repeated lines; other columns are ignored."""
     own = pages.where("page_id is not null and text is not null")
-    return _roles(own, _lines(own), fit_pages)
+    units, n = _decided(own)
+    return _roles(own, units.where("line_no is not null"), n, fit_pages)
+
+
+def _renderer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, body) of (id, html, keep): the kept blocks as rendered."""
+    for b in batches:
+        bodies = []
+        for html, keep in zip(b.column(1), b.column(2).to_pylist()):
+            wanted = set(keep)
+            bodies.append(render_blocks([x for k, x in enumerate(blocks(html.as_py())) if k in wanted]))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bodies, pa.string())], ["id", "body"])
 
 
 def main_texts(pages: DataFrame, fit_pages: int = 1500) -> DataFrame:
@@ -410,26 +512,23 @@ def main_texts(pages: DataFrame, fit_pages: int = 1500) -> DataFrame:
     ``page_id`` is taken for unique; rows without are left out.  A page without article
     has an empty text."""
     own = pages.where("page_id is not null")
-    every = _lines(own, rendered=True)
-    lines = every.where("line_no > 0")
-    bodies = every.where("line_no = 0").select("id", F.col("line").alias("body"))
+    units, n = _decided(own)
+    # broken html shows no line of the text
+    whole = units.groupBy("id").agg(
+        F.collect_set(F.when(F.col("main"), F.col("block"))).alias("keep"), F.max(F.col("block").isNotNull() & F.col("line_no").isNotNull()).alias("shows"), F.max(F.col("line_no").isNotNull()).alias("lines"))
+    whole = whole.where("(shows or not lines) and size(keep) > 0").select("id", "keep")
+    bodies = own.select(F.col("page_id").cast("long").alias("id"), "html").join(whole, "id").select("id", "html", "keep").mapInArrow(_renderer, "id long, body string")
     # pages without a body, with the lines that no block decides: all of them where there is no html
-    bare = lines.where("line is not null").select("id", "line_no", "line").join(bodies.select("id"), "id", "left_anti")
-    kept = bare.join(_roles(own.where("text is not null"), lines, fit_pages).where("main").select("id", "line_no"), ["id", "line_no"])
+    lines = units.where("line_no is not null")
+    bare = lines.where("line is not null").select("id", "line_no", "line").join(whole.select("id"), "id", "left_anti")
+    kept = bare.join(_roles(own.where("text is not null"), lines, n, fit_pages).where("main").select("id", "line_no"), ["id", "line_no"])
     joined = kept.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("line_no", F.trim("line").alias("line")))).alias("rows"))
     texts = bodies.unionByName(joined.select("id", F.array_join(F.col("rows.line"), "\n\n").alias("body"))).groupBy("id").agg(F.max("body").alias("text"))
     return own.select(F.col("page_id").cast("long").alias("id")).distinct().join(texts, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _lines(own: DataFrame, rendered: bool = False) -> DataFrame:
-    from linkspark.workspace import materialise
-
-    texts = own.select(F.col("page_id").cast("long").alias("id"), "html", "text")
-    return materialise(texts.mapInArrow(_lines_of_html(rendered), LINES), "lines")
-
-
-def _roles(own: DataFrame, lines: DataFrame, fit_pages: int) -> DataFrame:
-    shared = own.sparkSession.sparkContext.broadcast(fit_lines(own, common_words(lines), fit_pages))
+def _roles(own: DataFrame, lines: DataFrame, n: int, fit_pages: int) -> DataFrame:
+    shared = own.sparkSession.sparkContext.broadcast(fit_lines(own, lines, common_words(lines, n), fit_pages))
     known = lines.where("main is not null").select("id", "line_no", "main")
     open_pages = lines.where("main is null").select("id").distinct()
     left = lines.join(open_pages, "id", "left_semi").select("id", "line_no", "key", "main", "line")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkspark.llm.languages import fit_model, line_languages, page_languages, segments, stated_language
-from linkspark.llm.main_content import Labels, blocks, common_words, line_key, line_roles, main_texts, render
+from linkspark.llm.main_content import blocks, common_words, evidence, line_key, line_roles, main_texts, matched, render
 from linkspark.llm import mixture
 from linkspark.llm.mixture import Marginals, mix_sources, rake, rake_table, token_counts
 from linkspark.llm.sentences import sentence_units
@@ -92,10 +92,11 @@ def test_rendering():
     shown = render(HTML)
     assert "- one\n- two" in shown and "a     bbb\ncccc  d" in shown and "First bold text.\n\nSecond." in shown
     text = "Home · About\nHead\nFirst bold text.\nSecond.\nBuy now\none\ntwo\nSaid.\nAside\nMore\nTeaser\nFoot\nunknown"
-    flags = [f for _, _, f, _ in Labels.of(HTML, text)]
-    assert flags == [False, True, True, True, False, True, True, True, False, False, False, False, None]
+    against = evidence(blocks(HTML))
+    # nothing but its class speaks against the notice amid the text, which repetition alone can tell
+    assert [None if k is None else against[k] < 2 for _, _, k in matched(blocks(HTML), text)] == [False, True, True, True, True, True, True, True, False, False, False, False, None]
     for broken in ("", "<", "<p", "</p></div>", "<b><i>x</b></i>", "<td>x", "<!-- x", "<script>x", "&amp;&bogus;", "<li>" * 500 + "x"):
-        blocks(broken), render(broken)
+        evidence(blocks(broken)), render(broken)
     assert line_key("A b-C. 1") == "abc1"
 
 
@@ -116,13 +117,35 @@ def test_main_texts(spark):
 
 
 def test_headings_and_common_words_of_all_pages(spark):
-    page = "<body><h1>{0}</h1><p>Some words of {0} and Zanzibar.</p><aside><h3>Read {1} too</h3></aside></body>"
-    rows = [(k, f"Head{k}", page.format(f"Head{k}", f"n{k % 20}"), f"Head{k}\nSome words of Head{k} and Zanzibar.\nRead n{k % 20} too") for k in range(200)]
+    page = "<body><h1>{0}</h1><p>Some words of {0} and Zanzibar.</p><aside><h3>Read {1} too</h3><a href=x>{0} again</a></aside></body>"
+    head = lambda k: "Head" + "".join("abcdefghij"[int(c)] for c in str(k))
+    rows = [(k, head(k), page.format(head(k), f"n{k % 20}"), f"{head(k)}\nSome words of {head(k)} and Zanzibar.\nRead n{k % 20} too") for k in range(200)]
     hidden = [(1000 + k, "Own", None, f"Own\nSome words of Own.\nRead n{k} too\nSome words of Own here.") for k in range(20)]
     got = line_roles(spark.createDataFrame(rows + hidden, "page_id long, title string, html string, text string"), fit_pages=4).where("id >= 1000 and not main").collect()
     assert sorted((r["id"], r["line_no"]) for r in got) == [(1000 + k, n) for k in range(20) for n in (3, 4)]
     lines = spark.createDataFrame([(["Zanzibar", f"Rare{k}"],) for k in range(500)] + [(None,)], "words array<string>")
-    assert common_words(lines) == {"Zanzibar"}
+    assert common_words(lines, 500) == {"Zanzibar"}
+
+
+REAL = """<html><body><header class="site"><a href="/">Shop</a></header><nav id="m"><a href="/a">A</a><a href="/b">B</a></nav><article class="post" role="main"><header class="top"><h1 class="title">{0}</h1>
+<span class="meta">By Ann, 3 min of reading</span></header><div class="content"><p class="lead">Lead of {0} in {1}, which runs on for a while.</p><h3 id="s1" class="sub">Part of {0}</h3><p id="p3">Third text of {0} with a <a href="x">link</a> in it.</p>
+<div class="box">Free delivery this week only.</div><blockquote class="q">Quoted words of {0}.</blockquote><ul class="specs"><li class="i">Weight {1} kg</li><li>Height of {0}</li></ul><h4>Last part of {0}</h4><p>{0} ends here.</p></div></article>
+<h3>More stories</h3><div class="t"><a href="y">Other story {1}</a></div><footer>Imprint</footer></body></html>"""
+
+
+def test_main_content_of_pages_with_classes(spark):
+    """A class, id or role is no reason by itself; subheads of any level stay; repeated notices go."""
+    names = [f"Tale{x}" for x in "abcdefghijkl"]
+    lines = "Shop\n{0}\nBy Ann, 3 min of reading\nLead of {0} in {1}, which runs on for a while.\nPart of {0}\nThird text of {0} with a link in it.\nFree delivery this week only.\nQuoted words of {0}.\nWeight {1} kg\nHeight of {0}\nLast part of {0}\n{0} ends here.\nMore stories\nOther story {1}\nImprint"
+    rows = [(k, 1, x, REAL.format(x, k), lines.format(x, k)) for k, x in enumerate(names)]
+    df = spark.createDataFrame(rows, "page_id long, domain_id long, title string, html string, text string")
+    got = {}
+    for r in line_roles(df).collect():
+        got.setdefault(r["id"], []).append((r["line_no"], r["main"]))
+    outside = {1, 3, 7, 13, 14, 15}
+    assert all({n for n, main in v if not main} == outside and len(v) == 15 for v in got.values()) and len(got) == 12
+    body = {r["id"]: r["text"] for r in main_texts(df).collect()}[3]
+    assert body == "Taled\n\nLead of Taled in 3, which runs on for a while.\n\nPart of Taled\n\nThird text of Taled with a link in it.\n\nQuoted words of Taled.\n\n- Weight 3 kg\n- Height of Taled\n\nLast part of Taled\n\nTaled ends here."
 
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
