@@ -1,87 +1,35 @@
-"""Relevance of target pages for source pages.
+"""Relevance of target pages for source pages: gates, factors, features, scores and reasons of pairs.
 
-A pair without a common title term, body term, entity or tag has relevance 0, so
-candidates come from equi-joins alone.  The joined partial scores of all four
-kinds are united before one aggregation by pair, which combines map-side.
+Pairs come from :mod:`linkspark.operators.blocks`; page attributes join them after the best
+of each source are chosen.
 """
 
 from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.functions import scores as S
 from linkspark.functions import urls as U
-from linkspark.operators.corpus import corpus_stats, document_frequency, postings
-
-ENTITY_WEIGHTS = {"product": 1.0, "brand": 0.8, "category": 0.6}
-
-
-def entity_weight(kind: Column) -> Column:
-    out = F.lit(0.3)
-    for k, w in ENTITY_WEIGHTS.items():
-        out = F.when(kind == k, w).otherwise(out)
-    return out
-
-
-def weighted_postings(posts: DataFrame, pages: DataFrame) -> DataFrame:
-    """Postings with each term's BM25 weight in its page."""
-    stats = corpus_stats(pages)  # one row
-    mean = F.when(F.col("field") == "title", F.col("title_avg")).otherwise(F.col("body_avg"))
-    weight = S.idf(F.col("n"), F.col("df")) * S.saturation(F.col("tf"), F.col("len"), mean)
-    return posts.join(document_frequency(posts), ["field", "term"]).crossJoin(F.broadcast(stats)).select("field", "term", "page_id", "tf", weight.alias("w"))
-
-
-def pair_scores(sources: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(src, tgt, title_bm25, body_bm25, cosine, entity, first_entity, tag) of prepared pages that share anything.
-
-    A source's repeated terms count each time.  ``first_entity`` is the first of the source's
-    entities that the target has, with the target's type.  Pairs of a page with itself are left out."""
-    same = sources is corpus
-    posts = postings(corpus)
-    query = posts if same else postings(sources)
-    a = query.select("field", "term", F.col("page_id").alias("src"), F.col("tf").alias("qtf"))
-    b = weighted_postings(posts, corpus).select("field", "term", F.col("page_id").alias("tgt"), "tf", "w")
-    none, no_first = F.lit(0.0), F.lit(None).cast("struct<pos:int,name:string,type:string>")
-    is_title = F.col("field") == "title"
-    terms = a.join(b, ["field", "term"]).where("src <> tgt").select(
-        "src", "tgt", F.when(is_title, F.col("qtf") * F.col("w")).otherwise(0.0).alias("title"), F.when(is_title, 0.0).otherwise(F.col("qtf") * F.col("w")).alias("body"),
-        F.when(is_title, 0.0).otherwise((F.col("qtf") * F.col("tf")).cast("double")).alias("dot"), none.alias("ent"), no_first.alias("first"), none.alias("common"))
-    own = sources.select(F.col("page_id").alias("src"), F.posexplode("entities").alias("pos", "e")).select("src", "pos", F.col("e.name").alias("name"), F.lower("e.name").alias("key"), entity_weight(F.col("e.type")).alias("ws"))
-    theirs = corpus.select(F.col("page_id").alias("tgt"), F.posexplode("entities").alias("pos", "e")).groupBy("tgt", F.lower("e.name").alias("key")).agg(F.max_by("e.type", "pos").alias("type"))
-    ents = own.join(theirs, "key").where("src <> tgt").select(
-        "src", "tgt", none.alias("title"), none.alias("body"), none.alias("dot"), F.greatest("ws", entity_weight(F.col("type"))).alias("ent"), F.struct("pos", "name", "type").alias("first"), none.alias("common"))
-    tag = lambda df, k: df.select(F.col("page_id").alias(k), F.explode("tag_set").alias("t"))
-    tags = tag(sources, "src").join(tag(corpus, "tgt"), "t").where("src <> tgt").select(
-        "src", "tgt", none.alias("title"), none.alias("body"), none.alias("dot"), none.alias("ent"), no_first.alias("first"), F.lit(1.0).alias("common"))
-    agg = terms.unionByName(ents).unionByName(tags).groupBy("src", "tgt").agg(
-        F.sum("title").alias("title_bm25"), F.sum("body").alias("body_bm25"), F.sum("dot").alias("dot"), F.sum("ent").alias("matched"), F.min("first").alias("first"), F.sum("common").alias("common"))
-    norm = lambda posts: posts.where("field = 'body'").groupBy("page_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
-    total = sources.select(F.col("page_id").alias("src"), F.aggregate("entities", F.lit(0.0), lambda acc, e: acc + entity_weight(e["type"])).alias("total"), F.size("tag_set").alias("stags"))
-    width = corpus.select(F.col("page_id").alias("tgt"), F.size("tag_set").alias("ttags"))
-    left = total.join(norm(query).select(F.col("page_id").alias("src"), F.col("norm").alias("sn")), "src", "left")
-    right = width.join(norm(posts).select(F.col("page_id").alias("tgt"), F.col("norm").alias("tn")), "tgt", "left")
-    union = F.col("stags") + F.col("ttags") - F.col("common")
-    return agg.join(left, "src").join(right, "tgt").select(
-        "src", "tgt", "title_bm25", "body_bm25", F.coalesce(F.col("dot") / (F.col("sn") * F.col("tn")), F.lit(0.0)).alias("cosine"),
-        F.when(F.col("total") > 0, F.least(F.col("matched") / F.col("total"), F.lit(1.0))).otherwise(0.0).alias("entity"),
-        F.when(F.col("first").isNotNull(), F.struct(F.col("first.name").alias("name"), F.col("first.type").alias("type"))).alias("first_entity"),
-        F.when(union > 0, F.col("common") / union).otherwise(0.0).alias("tag"))
-
-
-#: Columns of a page that pairs carry; its texts are joined again where they are needed.
+from linkspark.operators.blocks import best_pairs
+
+#: Columns of a page that chosen pairs carry; its texts are joined again where they are needed.
 ATTRIBUTES = (
     "page_id url title lang tags tag_set type published canonical noindex nofollow is_login is_cart is_redirect is_paginated_duplicate blocked is_pillar is_hub is_money_page is_conversion_page is_reference has_schema "
-    "status_code outbound_links taxonomy head_terms brand parent_id authority_score inlinks click_depth content_score body_len n_words").split()
+    "status_code outbound_links taxonomy head_terms brand parent_id authority_score inlinks click_depth content_score entities body_len n_words").split()
 
 
 def with_pages(pairs: DataFrame, sources: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Pairs with structs ``s`` and ``t`` of both pages' attributes."""
+    """Pairs with structs ``s`` and ``t`` of both pages' attributes, and ``first_entity``: the first of the
+    source's entities that the target has, with the target's type."""
     s = sources.select(F.col("page_id").alias("src"), F.struct(*ATTRIBUTES).alias("s"))
     t = corpus.select(F.col("page_id").alias("tgt"), F.struct(*ATTRIBUTES).alias("t"))
-    return pairs.join(t, "tgt").join(s, "src")
+    both = pairs.join(t, "tgt").join(s, "src")
+    name = F.get(F.col("s.entities"), F.col("first_pos"))["name"]
+    theirs = F.filter("t.entities", lambda e: F.lower(e["name"]) == F.lower(name))
+    return both.withColumn("first_entity", F.when(F.col("first_pos") >= 0, F.struct(name.alias("name"), F.get(theirs, F.size(theirs) - 1)["type"].alias("type"))))
 
 
 def s(k: str) -> Column:
@@ -121,12 +69,10 @@ def recall_score() -> Column:
     return parts * language_factor() * review_factor()
 
 
-def candidates(sources: DataFrame, corpus: DataFrame, config: dict[str, Any]) -> DataFrame:
+def candidates(sources: DataFrame, corpus: DataFrame, config: dict[str, Any], gated: bool = True) -> DataFrame:
     """The ``max_candidates`` best targets of each source by recall score (above 0.05), ties to
-    nine places by page_id; ``rank`` counts from 1.  The window is cut by a group limit before its sort."""
-    pairs = with_pages(pair_scores(sources, corpus), sources, corpus).where(business_filter()).withColumn("recall", recall_score()).where("recall > 0.05")
-    w = Window.partitionBy("src").orderBy(F.desc(F.round("recall", 9)), "tgt")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= config["max_candidates"])
+    nine places by page_id, with both pages' attributes; ``rank`` counts from 1.  ``gated`` applies :func:`business_filter` before."""
+    return with_pages(best_pairs(sources, corpus, config["max_candidates"], gated=gated), sources, corpus)
 
 
 def features(config: dict[str, Any], as_of: str) -> dict[str, Column]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkspark.operators import relevance as R
 from linkspark.operators.anchors import with_anchors
+from linkspark.operators.blocks import coded
 from linkspark.operators.corpus import prepared, with_defaults
 from linkspark.operators.selection import greedy_links, link_metrics
 from linkspark.plans.config import settings
@@ -27,11 +28,17 @@ def evaluate(sources: DataFrame, corpus: DataFrame, config: dict[str, Any], as_o
     return pairs.withColumns({"placement": R.placement(), "role": R.role()})
 
 
+def ready(pages: DataFrame, texts: bool = True) -> DataFrame:
+    """Raw pages as scoring and choice read them, written once; without ``texts`` nothing of their size."""
+    made = coded(prepared(with_defaults(pages))).drop("title_tokens", "body_tokens")
+    return materialise(made if texts else made.drop("text"), "pages")
+
+
 def batch(sources: DataFrame, corpus: DataFrame | None = None, config: dict[str, Any] | None = None, as_of: str = AS_OF) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """``(links, evaluated, sources, corpus)`` of raw page tables; without ``corpus`` the sources are it."""
     config = config or settings()
-    target = materialise(prepared(with_defaults(sources if corpus is None else corpus)), "pages")
-    own = target if corpus is None else materialise(prepared(with_defaults(sources)), "pages")
+    target = ready(sources if corpus is None else corpus)
+    own = target if corpus is None else ready(sources)
     evaluated = materialise(evaluate(own, target, config, as_of), "evaluated")
     return greedy_links(evaluated, config), evaluated, own, target
 

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.functions import scores as S
 from linkspark.functions import text as X
 from linkspark.operators import relevance as R
 from linkspark.operators.anchors import with_anchors
+from linkspark.operators.blocks import best_pairs
 from linkspark.operators.corpus import corpus_stats, document_frequency, postings, prepared, with_defaults
 from linkspark.operators.selection import inbound_counts, link_metrics, variant_counts
 from linkspark.plans import suggest
 from linkspark.plans.config import settings
 from linkspark.sources.pages import suggestion_json, suggestion_tsv
 from linkspark.sources.tables import table
-from linkspark.workspace import materialise
 
 CONFIG = settings()
 SIX = 6
@@ -26,8 +26,11 @@ def _raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Prepared pages, written once: every branch of the pair plans reads only its columns."""
-    return materialise(prepared(_raw(spark, sf)), "pages")
+    return prepared(_raw(spark, sf))
+
+
+def _ready(spark: SparkSession, sf: str, texts: bool = False) -> DataFrame:
+    return suggest.ready(table(spark, sf, "page"), texts)
 
 
 def r6(c: str, name: str | None = None):
@@ -59,57 +62,53 @@ def body_norms(spark, sf):
     return postings(_pages(spark, sf)).where("field = 'body'").groupBy("page_id").agg(F.round(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")), SIX).alias("norm"))
 
 
+def _best(spark, sf, gated: bool = False) -> DataFrame:
+    """The 120 best targets of every page by recall, of all or of those that pass the business filter."""
+    p = _ready(spark, sf)
+    return R.candidates(p, p, CONFIG, gated)
+
+
 def pair_relevance(spark, sf):
-    p = _pages(spark, sf)
-    return R.pair_scores(p, p).select("src", "tgt", *[r6(c) for c in ("title_bm25", "body_bm25", "cosine", "entity", "tag")], F.col("first_entity.name").alias("entity_name"), F.col("first_entity.type").alias("entity_type"))
+    return _best(spark, sf).select("src", "tgt", *[r6(c) for c in ("title_bm25", "body_bm25", "cosine", "entity", "tag")], F.col("first_entity.name").alias("entity_name"), F.col("first_entity.type").alias("entity_type"))
 
 
-def _topk(df: DataFrame, by: str, k: int = 10) -> DataFrame:
+def _topk(spark, sf, by: str, k: int = 10) -> DataFrame:
     """The feature of a report: the ten best targets of each source."""
-    w = Window.partitionBy("src").orderBy(F.desc(F.round(by, SIX)), "tgt")
-    return df.where(F.col(by) > 0).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("src", "tgt", F.col("place").cast("long").alias("place"), r6(by))
+    p = _ready(spark, sf)
+    return best_pairs(p, p, k, by, 0.0, SIX, gated=False).select("src", "tgt", F.col("rank").cast("long").alias("place"), r6(by))
 
 
 def bm25_title_topk(spark, sf):
-    p = _pages(spark, sf)
-    return _topk(R.pair_scores(p, p), "title_bm25")
+    return _topk(spark, sf, "title_bm25")
 
 
 def bm25_body_topk(spark, sf):
-    p = _pages(spark, sf)
-    return _topk(R.pair_scores(p, p), "body_bm25")
-
-
-def _attribute_pairs(spark, sf):
-    p = _pages(spark, sf)
-    pairs = R.pair_scores(p, p)
-    return R.with_pages(pairs, p, p)
+    return _topk(spark, sf, "body_bm25")
 
 
 def taxonomy_overlap(spark, sf):
-    return _attribute_pairs(spark, sf).select("src", "tgt", F.round(S.overlap(R.s("taxonomy"), R.t("taxonomy")), SIX).alias("taxonomy")).where("taxonomy > 0")
+    return _best(spark, sf).select("src", "tgt", F.round(S.overlap(R.s("taxonomy"), R.t("taxonomy")), SIX).alias("taxonomy")).where("taxonomy > 0")
 
 
 def business_filter(spark, sf):
-    return _attribute_pairs(spark, sf).where(R.business_filter()).select("src", "tgt")
+    return _best(spark, sf).where(R.business_filter()).select("src", "tgt")
 
 
 def allow_candidates(spark, sf):
-    return _attribute_pairs(spark, sf).where(R.guardrails(CONFIG)).select("src", "tgt")
+    return _best(spark, sf).where(R.guardrails(CONFIG)).select("src", "tgt")
 
 
 def pair_factors(spark, sf):
-    return _attribute_pairs(spark, sf).select("src", "tgt", R.language_factor().alias("language"), R.review_factor().alias("review"), R.placement().alias("placement"), R.role().alias("role"), F.array_join(R.risk_flags(CONFIG), ",").alias("flags"))
+    return _best(spark, sf).select("src", "tgt", R.language_factor().alias("language"), R.review_factor().alias("review"), R.placement().alias("placement"), R.role().alias("role"), F.array_join(R.risk_flags(CONFIG), ",").alias("flags"))
 
 
 def recall_candidates(spark, sf):
-    p = _pages(spark, sf)
-    return R.candidates(p, p, CONFIG).select("src", "tgt", r6("recall"))
+    p = _ready(spark, sf)
+    return best_pairs(p, p, CONFIG["max_candidates"]).select("src", "tgt", r6("recall"))
 
 
 def _scored(spark, sf):
-    p = _pages(spark, sf)
-    return R.scored(R.candidates(p, p, CONFIG), CONFIG, suggest.AS_OF)
+    return R.scored(_best(spark, sf, True), CONFIG, suggest.AS_OF)
 
 
 def features_wide(spark, sf):
@@ -130,7 +129,7 @@ def link_budgets(spark, sf):
 
 
 def anchor_select(spark, sf):
-    p = _pages(spark, sf)
+    p = _ready(spark, sf, texts=True)
     df = with_anchors(R.candidates(p, p, CONFIG), p, p, CONFIG)
     flat = df.select("src", "tgt", F.posexplode("anchors").alias("place", "a"))
     return flat.select("src", "tgt", F.col("place").cast("long").alias("place"), F.col("a.text").alias("text"), F.col("a.start").cast("long").alias("start_off"), F.col("a.end").cast("long").alias("end_off"), F.col("a.variant").alias("variant"))
@@ -255,8 +254,9 @@ f AS (SELECT *,
     CASE WHEN NOT both_lang THEN 0.7 WHEN s.lang = t.lang THEN 1.0 WHEN share_tag THEN 0.6 ELSE 0.1 END AS language,
     CASE WHEN s.type <> 'review' THEN 1.0 WHEN t.type IN ('category', 'review') AND regexp_matches(lower(t.title), 'best|top|guide') THEN 1.2 WHEN t.type = 'product' THEN 1.1 ELSE 1.0 END AS review
   FROM q),
-c0 AS (SELECT *, (0.35 * least(title_bm25 / 8, 1) + 0.35 * least(body_bm25 / 12, 1) + 0.2 * cosine + 0.25 * entity + 0.15 * tag) * language * review AS recall FROM f WHERE business),
-c AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(recall, 9) DESC, tgt) AS rank FROM c0 WHERE recall > 0.05 QUALIFY rank <= 120),
+rc AS (SELECT *, (0.35 * least(title_bm25 / 8, 1) + 0.35 * least(body_bm25 / 12, 1) + 0.2 * cosine + 0.25 * entity + 0.15 * tag) * language * review AS recall FROM f),
+ca AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(recall, 9) DESC, tgt) AS rank FROM rc WHERE recall > 0.05 QUALIFY rank <= 120),
+c AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(recall, 9) DESC, tgt) AS rank FROM rc WHERE business AND recall > 0.05 QUALIFY rank <= 120),
 ft AS (SELECT *,
     greatest(least(title_bm25 / 8, 1), 0) AS f_title_bm25, greatest(least(body_bm25 / 12, 1), 0) AS f_body_bm25, greatest(least(cosine, 1), 0) AS f_semantic, entity AS f_entity_overlap, tag AS f_tag_overlap,
     CASE WHEN len(s.taxonomy) > 0 AND len(t.taxonomy) > 0 THEN len(list_distinct(list_intersect(s.taxonomy, t.taxonomy))) * 1.0 / greatest(len(s.taxonomy), len(t.taxonomy)) ELSE 0 END AS f_taxonomy_distance,
@@ -285,18 +285,18 @@ SQL = {
     "corpus_statistics": _BASE + "SELECT n, round(title_avg, 6) AS title_avg, round(body_avg, 6) AS body_avg FROM st",
     "bm25_idf": _BASE + "SELECT field, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df CROSS JOIN st",
     "body_norms": _BASE + "SELECT page_id, round(norm, 6) AS norm FROM norm",
-    "pair_relevance": _BASE + "SELECT src, tgt, round(title_bm25, 6) AS title_bm25, round(body_bm25, 6) AS body_bm25, round(cosine, 6) AS cosine, round(entity, 6) AS entity, round(tag, 6) AS tag, entity_name, entity_type FROM pr",
+    "pair_relevance": _BASE + "SELECT src, tgt, round(title_bm25, 6) AS title_bm25, round(body_bm25, 6) AS body_bm25, round(cosine, 6) AS cosine, round(entity, 6) AS entity, round(tag, 6) AS tag, entity_name, entity_type FROM ca",
     "bm25_title_topk": _BASE + "SELECT src, tgt, row_number() OVER (PARTITION BY src ORDER BY round(title_bm25, 6) DESC, tgt) AS place, round(title_bm25, 6) AS title_bm25 FROM pr WHERE title_bm25 > 0 QUALIFY place <= 10",
     "bm25_body_topk": _BASE + "SELECT src, tgt, row_number() OVER (PARTITION BY src ORDER BY round(body_bm25, 6) DESC, tgt) AS place, round(body_bm25, 6) AS body_bm25 FROM pr WHERE body_bm25 > 0 QUALIFY place <= 10",
-    "taxonomy_overlap": _BASE + "SELECT * FROM (SELECT src, tgt, round(CASE WHEN len(s.taxonomy) > 0 AND len(t.taxonomy) > 0 THEN len(list_distinct(list_intersect(s.taxonomy, t.taxonomy))) * 1.0 / greatest(len(s.taxonomy), len(t.taxonomy)) ELSE 0 END, 6) AS taxonomy FROM pa) WHERE taxonomy > 0",
-    "business_filter": _BASE + "SELECT src, tgt FROM f WHERE business",
-    "allow_candidates": _BASE + "SELECT src, tgt FROM f WHERE allowed",
+    "taxonomy_overlap": _BASE + "SELECT * FROM (SELECT src, tgt, round(CASE WHEN len(s.taxonomy) > 0 AND len(t.taxonomy) > 0 THEN len(list_distinct(list_intersect(s.taxonomy, t.taxonomy))) * 1.0 / greatest(len(s.taxonomy), len(t.taxonomy)) ELSE 0 END, 6) AS taxonomy FROM ca) WHERE taxonomy > 0",
+    "business_filter": _BASE + "SELECT src, tgt FROM ca WHERE business",
+    "allow_candidates": _BASE + "SELECT src, tgt FROM ca WHERE allowed",
     "pair_factors": _BASE + """
 SELECT src, tgt, CAST(language AS DOUBLE) AS language, CAST(review AS DOUBLE) AS review, CASE WHEN t.is_pillar OR t.type IN ('category', 'pillar') THEN 'intro' WHEN t.is_conversion_page THEN 'body' WHEN t.is_reference THEN 'conclusion' ELSE 'body' END AS placement,
   CASE WHEN t.is_pillar OR t.is_hub OR (len(t.taxonomy) > 0 AND s.taxonomy[1:len(t.taxonomy)] = t.taxonomy) THEN 'parent'
     WHEN coalesce(s.parent_id <> '' AND s.parent_id = t.parent_id, false) OR (len(list_intersect(s.tags, t.tags)) > 0 AND s.type = t.type) THEN 'sibling' WHEN t.is_money_page THEN 'money' ELSE 'other' END AS role,
   array_to_string(list_filter([CASE WHEN both_lang AND s.lang <> t.lang THEN 'lang_mismatch' END, CASE WHEN t.type = 'product' AND len(t.body_tokens) < 250 THEN 'thin_target' END,
-    CASE WHEN list_contains(s.outbound_links, t.url) THEN 'dup_anchor' END], lambda x: x IS NOT NULL), ',') AS flags FROM f""",
+    CASE WHEN list_contains(s.outbound_links, t.url) THEN 'dup_anchor' END], lambda x: x IS NOT NULL), ',') AS flags FROM ca""",
     "recall_candidates": _BASE + "SELECT src, tgt, round(recall, 6) AS recall FROM c",
     "features_wide": _BASE + "SELECT src, tgt, " + ", ".join(f"round(CAST({k} AS DOUBLE), 6) AS {k}" for k in _FEATURES) + " FROM ft",
     "score_pairs": _BASE + "SELECT src, tgt, round(score, 6) AS score FROM sc",
