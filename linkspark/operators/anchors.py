@@ -24,15 +24,23 @@ def _phrase(text: Column, variant: Column | str) -> Column:
     return F.struct(X.strip(text).alias("phrase"), (F.lit(variant) if isinstance(variant, str) else variant).alias("variant"))
 
 
-def phrases(entity: Column, title: Column, body: Column, head_terms: Column, brand: Column, tags: Column) -> Column:
-    """Distinct (phrase, variant) by which a target may be linked: title, its first and last words,
-    the first shared entity, head terms, brand, and tags that the target's title or text holds."""
-    name = X.strip(title)
+def _valid(every: Column) -> Column:
+    return F.array_distinct(F.filter(every, lambda p: p["phrase"].isNotNull() & (p["phrase"] != "") & X.valid_phrase(p["phrase"], p["variant"])))
+
+
+def entity_phrase(entity: Column) -> Column:
+    """The one phrase that depends on the pair: its first shared entity; an array of at most one."""
     kind = F.when(entity["type"].isin(list(VARIANTS)), entity["type"]).otherwise("entity")
+    return _valid(F.array(_phrase(entity["name"], kind)))
+
+
+def page_phrases(title: Column, body: Column, head_terms: Column, brand: Column, tags: Column) -> Column:
+    """Distinct (phrase, variant) by which a target may be linked from anywhere: title, its first and last words,
+    head terms, brand, and tags that the target's title or text holds."""
+    name = X.strip(title)
     held = F.filter(tags, lambda g: (X.strip(g) != "") & (F.contains(F.lower(title), F.lower(X.strip(g))) | F.contains(F.lower(body), F.lower(X.strip(g)))))
-    fixed = F.array(_phrase(name, "exact"), _phrase(X.head_terms(name), "partial"), _phrase(X.tail_terms(name), "partial"), _phrase(entity["name"], kind), _phrase(brand, "brand"))
-    every = F.concat(fixed, F.transform(head_terms, lambda h: _phrase(h, "partial")), F.transform(held, lambda g: _phrase(F.translate(X.strip(g), "-", " "), "tag")))
-    return F.array_distinct(F.filter(every, lambda p: p["phrase"].isNotNull() & (p["phrase"] != "") & X.valid_phrase(p["phrase"], p["variant"])))
+    fixed = F.array(_phrase(name, "exact"), _phrase(X.head_terms(name), "partial"), _phrase(X.tail_terms(name), "partial"), _phrase(brand, "brand"))
+    return _valid(F.concat(fixed, F.transform(head_terms, lambda h: _phrase(h, "partial")), F.transform(held, lambda g: _phrase(F.translate(X.strip(g), "-", " "), "tag"))))
 
 
 def variant_weight(variant: Column) -> Column:
@@ -46,19 +54,17 @@ def anchor_score(variant: Column, start: Column, length: Column, n_words: Column
     return variant_weight(variant) * (0.7 + 0.2 * (1 - start / F.greatest(length, F.lit(1))) + 0.1 * F.greatest(F.lit(0.0), 1 - F.abs(n_words - 4) / 10))
 
 
-def places(found: Column, text: Column) -> Column:
-    """Valid spans of the phrases' first places in ``text``, with their scores."""
-    low = F.lower(text)
+def places(hits: Column, text: Column) -> Column:
+    """Valid spans of ``hits`` (phrase, variant, start of the first place in ``text``), with their scores."""
 
     def span(p: Column) -> Column:
-        start = F.instr(low, F.lower(p["phrase"])) - 1
+        start = p["start"]
         actual = F.substring(text, start + 1, F.length(p["phrase"]))
         return F.struct(
-            X.normal_term(actual).alias("norm"), (-variant_weight(p["variant"])).alias("w"), start.cast("int").alias("start"), (start + F.length(p["phrase"])).cast("int").alias("end"), actual.alias("text"),
+            X.normal_term(actual).alias("norm"), (-variant_weight(p["variant"])).alias("w"), start.alias("start"), (start + F.length(p["phrase"])).cast("int").alias("end"), actual.alias("text"),
             p["variant"].alias("variant"), anchor_score(p["variant"], start, F.length(text), F.size(X.words(actual))).alias("score"))
 
-    spans = F.transform(found, span)
-    return F.filter(spans, lambda x: (x["start"] >= 0) & X.valid_anchor(x["text"], x["variant"]))
+    return F.filter(F.transform(hits, span), lambda x: X.valid_anchor(x["text"], x["variant"]))
 
 
 def select_anchors(pairs: DataFrame, spans: str, limit: int, out: str = "anchors") -> DataFrame:
@@ -74,11 +80,16 @@ def select_anchors(pairs: DataFrame, spans: str, limit: int, out: str = "anchors
 
 
 def with_anchors(pairs: DataFrame, sources: DataFrame, corpus: DataFrame, config: dict[str, Any]) -> DataFrame:
-    """Pairs joined with the texts they need, and their chosen anchors; those without one leave."""
-    st = sources.select(F.col("page_id").alias("src"), F.col("text").alias("s_text"))
-    tt = corpus.select(F.col("page_id").alias("tgt"), F.col("text").alias("t_text"))
-    df = pairs.join(tt, "tgt").join(st, "src")
-    found = phrases(F.col("first_entity"), F.col("t.title"), F.col("t_text"), F.col("t.head_terms"), F.col("t.brand"), F.col("t.tags"))
-    df = df.withColumn("phrases", found).drop("t_text")
-    df = df.withColumn("spans", places(F.col("phrases"), F.col("s_text"))).drop("phrases", "s_text")
-    return select_anchors(df, "spans", int(config["max_anchors_per_target"])).drop("spans").where(F.size("anchors") > 0)
+    """Pairs with their chosen anchors; those without one leave.
+
+    A target's phrases are made once, and a source's text meets those of all its targets
+    (at most ``max_candidates``) in one row, so no text is copied for a pair that has no hit."""
+    ready = corpus.select(F.col("page_id").alias("tgt"), page_phrases(F.col("title"), F.col("text"), F.col("head_terms"), F.col("brand"), F.col("tags")).alias("own"))
+    asked = pairs.select("src", "tgt", entity_phrase(F.col("first_entity")).alias("named")).join(ready, "tgt").select("src", F.struct("tgt", F.array_union("own", "named").alias("phrases")).alias("x"))
+    texts = sources.select(F.col("page_id").alias("src"), F.col("text").alias("s_text"), F.lower("text").alias("low"))
+    held = asked.groupBy("src").agg(F.collect_list("x").alias("xs")).join(texts, "src")
+    found = lambda x: F.filter(F.transform(x["phrases"], lambda p: F.struct(p["phrase"].alias("phrase"), p["variant"].alias("variant"), (F.instr(F.col("low"), F.lower(p["phrase"])) - 1).cast("int").alias("start"))), lambda p: p["start"] >= 0)
+    hits = held.select("src", "s_text", F.explode(F.transform("xs", lambda x: F.struct(x["tgt"].alias("tgt"), found(x).alias("hits")))).alias("x")).where(F.size("x.hits") > 0)
+    spans = hits.select("src", F.col("x.tgt").alias("tgt"), places(F.col("x.hits"), F.col("s_text")).alias("spans")).where(F.size("spans") > 0)
+    made = select_anchors(spans, "spans", int(config["max_anchors_per_target"])).where(F.size("anchors") > 0).select("src", "tgt", "anchors")
+    return pairs.join(made, ["src", "tgt"])

@@ -200,6 +200,9 @@ def best_pairs(sources: DataFrame, corpus: DataFrame, k: int, by: str = "recall"
     right = corpus.where("open") if gated else corpus
     right = right.select(*FACTS, "is_guide", "is_product", "open").withColumn("part", deal(targets)).withColumn("block", every(blocks))
     right = right.toDF(*[f"t_{c}" for c in right.columns])  # a table may meet itself
+    # a number of partitions of their own: adaptive coalescing counts bytes, and these rows are short for the work they make
+    tasks = 4 * blocks * targets if blocks * targets <= 4096 else blocks * targets
+    left, right = left.repartition(tasks, "block", "part"), right.repartition(tasks, "t_block", "t_part")
     made = left.groupBy("block", "part").cogroup(right.groupBy("t_block", "t_part")).applyInArrow(lambda a, b: _score(a, b.rename_columns([c[2:] for c in b.column_names]), facts), PAIRS)
     w = Window.partitionBy("src").orderBy(F.desc(F.round(by, digits)), "tgt")
     return made.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= int(k))

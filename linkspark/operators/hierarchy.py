@@ -46,7 +46,9 @@ def parent_edges(page: DataFrame) -> DataFrame:
     lookup = nodes.select(F.concat(F.lit("i"), F.col("node").cast("string")).alias("key"), F.col("node").alias("parent"))
     named_url = nodes.where("url <> ''").select(F.concat(F.lit("u"), F.col("url")).alias("key"), F.col("node").alias("parent"))
     lookup = lookup.unionByName(named_url).groupBy("key").agg(F.min("parent").alias("parent"))
-    return by_id.join(lookup, "key", "left").select("node", F.col("key").isNotNull().alias("named"), "parent")
+    # pages without a name don't take part in the join, where they would be one hot key
+    plain = by_id.where("key is null").select("node", F.lit(False).alias("named"), F.lit(None).cast(dict(nodes.dtypes)["node"]).alias("parent"))
+    return by_id.where("key is not null").join(lookup, "key", "left").select("node", F.lit(True).alias("named"), "parent").unionByName(plain)
 
 
 def resolve_hierarchy(edges: DataFrame, node: str = "node", parent: str = "parent", sep: str = "/") -> DataFrame:
@@ -59,8 +61,9 @@ def resolve_hierarchy(edges: DataFrame, node: str = "node", parent: str = "paren
     gives an empty result."""
     base = edges.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(parent).alias("parent"))
     ids = base.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
-    first = base.join(ids, "parent", "left").select("node", F.when(F.col("there"), F.col("parent")).alias("anc"), F.col("node").cast("string").alias("seg"), F.lit(1).alias("hops"))
-    first = materialise(first, "tree-0")
+    start = lambda df, anc: df.select("node", anc.alias("anc"), F.col("node").cast("string").alias("seg"), F.lit(1).alias("hops"))
+    bare = start(base.where("parent is null"), F.col("parent"))
+    first = materialise(start(base.where("parent is not null").join(ids, "parent", "left"), F.when(F.col("there"), F.col("parent"))).unionByName(bare), "tree-0")
     done = [first.where("anc is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.col("seg").alias("path"))]
     open_, k, kind = first.where("anc is not null"), 0, dict(first.dtypes)["node"]
     while True:
