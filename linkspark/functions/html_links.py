@@ -8,7 +8,9 @@ of its name and is dropped if there is none.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -134,8 +136,53 @@ def _skipped(x: Text) -> bool:
     return x.raw
 
 
-def compiled(terms: list[dict]) -> list[tuple[re.Pattern, dict]]:
-    return [(re.compile(rf"(?<![A-Za-z0-9_]){re.escape(t['term'])}(?![A-Za-z0-9_])", re.I), t) for t in terms]
+@lru_cache(maxsize=1 << 16)
+def _pattern(term: str) -> re.Pattern:
+    """A term in any case, not inside a longer ASCII word; compiled once a worker."""
+    return re.compile(rf"(?<![A-Za-z0-9_]){re.escape(term)}(?![A-Za-z0-9_])", re.I)
+
+
+class _Offer:
+    """The terms that are still to be linked, in the order they are tried."""
+
+    def __init__(self, terms: list[dict]) -> None:
+        self.left = dict(enumerate(terms))
+
+    def pick(self, text: str, automatic: bool) -> tuple[dict, re.Match] | None:
+        """The first term that ``text`` holds, with its first place; it and others of its key are gone then."""
+        plain = text.lower() if text.isascii() else None
+        for n, t in self.left.items():
+            if not (automatic or t["priority"]):
+                continue
+            if plain is not None and t["term"].isascii() and t["term"].lower() not in plain:
+                continue
+            found = _pattern(t["term"]).search(text)
+            if found is not None:
+                self.left = {k: x for k, x in self.left.items() if x["key"] != t["key"]}
+                return t, found
+        return None
+
+
+def _visits(root: Element) -> Iterator[tuple[int, Text]]:
+    """Texts that may take a link, by block (numbered in document order), each block's as they are when it is
+    reached; a text inside nested blocks is visited for each of them.  Without blocks the document is one."""
+    homes = [x for x in descendants(root) if isinstance(x, Element) and x.name in BLOCKS] or [root]
+    for n, home in enumerate(homes):
+        for x in list(descendants(home)):
+            if isinstance(x, Text) and not x.value.isspace() and x.value and not _skipped(x):
+                yield n, x
+
+
+def _wrap(x: Text, found: re.Match, t: dict) -> dict:
+    """Put a link around the found part of a text; returns the record of it."""
+    link = Element("a", [("href", t["url"]), ("class", LINK_CLASS), ("data-source", "priority" if t["priority"] else "auto")], x.parent)
+    link.children = [Text(found.group(), link)]
+    sides = [Text(x.value[: found.start()], x.parent), link, Text(x.value[found.end() :], x.parent)]
+    siblings = x.parent.children
+    at = [id(c) for c in siblings].index(id(x))
+    siblings[at : at + 1] = [c for c in sides if c is link or c.value]
+    near = " ".join(x.value[max(0, found.start() - 45) : found.end() + 45].split())
+    return {"term": t["term"], "url": t["url"], "priority": bool(t["priority"]), "context": near or None}
 
 
 def insert_links(html: str, terms: list[dict], max_links: int = 10, per_block: int = 3) -> tuple[str, list[dict]]:
@@ -146,40 +193,15 @@ def insert_links(html: str, terms: list[dict], max_links: int = 10, per_block: i
     ``max_links`` bounds all, ``per_block`` a block's automatic ones (priority links fill it too)."""
     if not html or not terms:
         return html or "", []
-    root = parse(html)
-    patterns = compiled(terms)
-    limit = max(1, min(max_links, per_block))
-    blocks = [x for x in descendants(root) if isinstance(x, Element) and x.name in BLOCKS] or [root]
-    used: set[str] = set()
-    made: list[dict] = []
-    for block in blocks:
-        if len(made) >= max_links:
+    root, offer, made = parse(html), _Offer(terms), []
+    filled: Counter = Counter()
+    for block, text in _visits(root):
+        if len(made) >= max_links or not offer.left:
             break
-        here = 0
-        for x in list(descendants(block)):
-            if len(made) >= max_links:
-                break
-            if not isinstance(x, Text) or not x.value.strip() or _skipped(x):
-                continue
-            for pattern, t in patterns:
-                if t["key"] in used or (not t["priority"] and here >= limit):
-                    continue
-                m = pattern.search(x.value)
-                if m is None:
-                    continue
-                home, at = x.parent, next(k for k, c in enumerate(x.parent.children) if c is x)
-                link = Element("a", [("href", t["url"]), ("class", LINK_CLASS), ("data-source", "priority" if t["priority"] else "auto")], home)
-                link.children.append(Text(m.group(0), link))
-                rest = [Text(x.value[: m.start()], home)] if m.start() else []
-                rest.append(link)
-                if m.end() < len(x.value):
-                    rest.append(Text(x.value[m.end() :], home))
-                home.children[at : at + 1] = rest
-                used.add(t["key"])
-                here += 1
-                near = re.sub(r"\s+", " ", x.value[max(0, m.start() - 45) : m.end() + 45].strip())
-                made.append({"term": t["term"], "url": t["url"], "priority": bool(t["priority"]), "context": near or None})
-                break
+        hit = offer.pick(text.value, filled[block] < max(1, min(max_links, per_block)))
+        if hit is not None:
+            made.append(_wrap(text, hit[1], hit[0]))
+            filled[block] += 1
     return serialise(root), made
 
 

@@ -11,7 +11,8 @@ from linkspark.operators.corpus import PAGE
 from linkspark.operators.links import import_links, search_links, slug_map, upsert_links
 from linkspark.operators.selection import enforce_roles
 from linkspark.plans.config import overlay, settings
-from linkspark.plans.suggest import batch, dry_run, suggest_links
+from linkspark.operators.blocks import best_pairs
+from linkspark.plans.suggest import batch, dry_run, ready, suggest_links
 from linkspark.sources.databases import jdbc_options
 from linkspark.sources.pages import read_pages, suggestion_tsv
 from linkspark.sources.sitemaps import decoded, fetch_sitemaps, parse_sitemaps, sitemap_source
@@ -31,32 +32,68 @@ def frame(spark, rows):
 
 
 def test_anchor_choice(spark):
-    text = "Our Acme Prime Lens review references the Acme Prime Lens Review Hub and the Acme brand craftsmanship. This Acme Prime Lens is versatile."
-    source = frame(spark, [page("/blog/acme-lens", "Why the Acme Prime Lens Shines", text)]).withColumn("page_id", F.lit(10**9))
-    corpus = frame(spark, [page("/reviews/acme-prime-lens", "Acme Prime Lens Review Hub", "Complete Acme Prime Lens review and buying guide for the Acme brand.", meta={"head_terms": ["Acme Prime Lens"], "brand": "Acme"})])
-    _, evaluated, _, _ = batch(source, corpus, settings(max_anchors_per_target=3, score_floor=0.0))
-    got = [(a["text"], a["start"], a["end"], a["variant"]) for a in evaluated.first()["anchors"]]
-    assert got == [("Acme Prime Lens review", 4, 26, "partial"), ("Acme Prime Lens", 4, 19, "partial"), ("Acme Prime Lens Review Hub", 42, 68, "exact")]
+    text = "We compare the Norvik Alpine Tent with others: the Norvik Alpine Tent Buying Guide by Norvik tells more. A Norvik Alpine Tent lasts."
+    source = frame(spark, [page("/notes/tents", "Sleeping outside in winter", text)])
+    corpus = frame(spark, [page("/guides/alpine-tent", "Norvik Alpine Tent Buying Guide", "All about tents of Norvik, with sizes and weights.", meta={"head_terms": ["Alpine Tent"], "brand": "Norvik"})])
+    _, evaluated, _, _ = batch(source, corpus, settings(max_anchors_per_target=5, score_floor=0.0))
+    got = {(a["text"], text[a["start"] : a["end"]], a["variant"]) for a in evaluated.first()["anchors"]}
+    assert got == {(x, x, v) for x, v in [("Norvik Alpine Tent Buying", "partial"), ("Norvik Alpine Tent Buying Guide", "exact"), ("Alpine Tent", "partial"), ("Tent Buying Guide", "partial"), ("Norvik", "brand")]}
 
 
 def test_guardrails_and_budget(spark):
-    text = "The Acme Budget Camera guide compares Acme Budget Camera deals for every acme fan."
-    source = frame(spark, [page("/blog/acme", "Acme Budget Camera", text, tags=["acme"])]).withColumn("page_id", F.lit(10**9))
-    rows = [
-        page("/reviews/acme-budget-camera", "Acme Budget Camera", "Acme Budget Camera review with acme tips.", tags=["acme"], type="review", meta={"is_pillar": True, "authority_score": 0.8}),
-        page("/reviews/draft", "Acme Budget Camera Draft", text, tags=["acme"], noindex=True), page("/reviews/redirect", "Acme Budget Camera Old", text, tags=["acme"], meta={"is_redirect": True, "status_code": 302}),
-        page("/es/reviews/acme", "Acme Budget Camera", text, lang="es", tags=["reseñas"])]
+    text = "Our list of Olmo Bread Ovens shows which of the Olmo Bread Ovens bakes best at home."
+    source = frame(spark, [page("/notes/bread", "Olmo Bread Ovens", text, tags=["oven"])])
+    target = lambda path, **more: page(path, "Olmo Bread Ovens", "A test of Olmo Bread Ovens at home.", tags=["oven"], type="review", **more)
+    rows = [target("/tests/ovens", meta={"is_pillar": True, "authority_score": 0.9}), target("/tests/hidden", noindex=True), target("/tests/moved", meta={"is_redirect": True, "status_code": 301}), target("/it/forni", lang="it", canonical=HOME + "/tests/ovens")]
     got = suggest_links(source, frame(spark, rows), settings(score_floor=0.3)).collect()
-    assert [r["target_url"] for r in got] == [HOME + "/reviews/acme-budget-camera"] and got[0]["rel"] == "follow" and got[0]["placement_hint"] == "intro"
-    one = suggest_links(source, frame(spark, rows * 1), settings(score_floor=0.3, max_links_per_page=0))
-    assert one.count() == 0
+    assert [(r["target_url"], r["rel"], r["placement_hint"]) for r in got] == [(HOME + "/tests/ovens", "follow", "intro")]
+    assert suggest_links(source, frame(spark, rows), settings(score_floor=0.3, max_links_per_page=0)).count() == 0
+    assert suggest_links(source.limit(0), frame(spark, rows)).count() == suggest_links(source, frame(spark, rows).limit(0)).count() == 0
+
+
+def test_pages_of_two_tables_are_told_apart_by_url(spark):
+    """Both tables number their rows from 0; a page of the same url is the same page wherever it is."""
+    one = [page("/a", "Garden pumps", "Quiet Garden pumps for ponds.", tags=["pump"])]
+    two = [page("/b", "Garden pumps", "Garden pumps compared.", tags=["pump"]), page("/a", "Garden pumps", "Quiet Garden pumps for ponds.", tags=["pump"])]
+    got = suggest_links(frame(spark, one), frame(spark, two), settings(score_floor=0.1)).collect()
+    assert [r["target_url"] for r in got] == [HOME + "/b"]
+
+
+def test_shared_language_or_tag_opens_a_target(spark):
+    text = "Wool Scarves from the hills: Wool Scarves keep warm."
+    source = frame(spark, [page("/s", "Wool Scarves", text, tags=["wool"])])
+    rows = [page("/de", "Wool Scarves", "Wool Scarves aus den Bergen", lang="de", tags=["berg"]), page("/nl", "Wool Scarves", "Wool Scarves uit de heuvels", lang="nl", tags=["wool"]), page("/none", "Wool Scarves", "Wool Scarves", lang=None)]
+    urls = lambda **c: {r["target_url"][len(HOME) :] for r in batch(source, frame(spark, rows), settings(score_floor=0.0, **c))[1].select("t.url").withColumnRenamed("url", "target_url").collect()}
+    assert urls() == {"/nl", "/none"}
+
+
+def test_guides_rank_before_products_for_reviews(spark):
+    source = frame(spark, [page("/r", "Kettle Trio", "The Kettle Trio boils fast, and Kettle Trio owners agree.", type="review", tags=["kettle"])])
+    same = dict(tags=["kettle"])
+    rows = [page("/plain", "Kettle Trio", "Kettle Trio", **same), page("/shop", "Kettle Trio", "Kettle Trio", type="product", **same), page("/guide", "Best Kettle Trio", "Kettle Trio", type="category", **same)]
+    best = batch(source, frame(spark, rows), settings(score_floor=0.0))[1].select("t.url", "recall").collect()
+    order = [r["url"][len(HOME) :] for r in sorted(best, key=lambda r: -r["recall"])]
+    assert order.index("/shop") < order.index("/plain") and "/guide" in order
+
+
+def test_blocks_of_any_size_give_the_same_pairs(spark):
+    rng = random.Random(11)
+    words = "oak elm ash fir yew bay fig nut pea rye the of and".split()
+    rows = [page(f"/p{k}", " ".join(rng.choice(words) for _ in range(4)), " ".join(rng.choice(words) for _ in range(40)), tags=rng.sample(words, 2), lang=rng.choice(["en", "de", None])) for k in range(90)]
+    p = ready(frame(spark, rows))
+    want = None
+    for sizes in ((4096, 16384), (20, 25), (7, 1000)):
+        got = sorted((r["src"], r["tgt"], r["rank"], round(r["recall"], 9)) for r in best_pairs(p, p, 12, source_block=sizes[0], target_block=sizes[1]).collect())
+        assert want is None or got == want
+        want = got
+    assert len(want) == 90 * 12
 
 
 def test_dry_run_row(spark):
-    rows = [page("/blog/source", "Acme Gadget tips", "The Acme Gadget is an acme favourite among Acme Gadget users.", tags=["acme"]),
-            page("/reviews/acme-gadget", "Acme Gadget", "Acme Gadget review.", tags=["acme"], type="review", meta={"is_pillar": True, "authority_score": 0.8})]
+    rows = [page("/x/one", "Bike Lamp hints", "A Bike Lamp is what riders of dark roads want; the Bike Lamp needs care.", tags=["lamp"]),
+            page("/x/two", "Bike Lamp", "Test of the Bike Lamp.", tags=["lamp"], type="review", meta={"is_pillar": True, "authority_score": 0.7})]
     row = dry_run(frame(spark, rows), settings(score_floor=0.3)).first().asDict()
-    assert len(row) == 9 and 0 <= row["coverage"] <= 1 and row["dup_target_rate"] == 0
+    assert len(row) == 9 and row["coverage"] > 0 and row["dup_target_rate"] == 0 and 0 <= row["orphan_rate"] < 1
     assert dry_run(frame(spark, rows).limit(0)).first()["coverage"] == 0
 
 
@@ -92,12 +129,15 @@ def test_priority_pairs(spark):
 
 
 def test_html_links():
-    terms = [{"key": "priority phrase", "term": "Priority phrase", "url": "/p", "priority": True}, {"key": "automatic term", "term": "automatic term", "url": "/a", "priority": False}]
-    html = "<p>Priority phrase leads the way.</p><p>Meanwhile, the automatic term waits here.</p>"
+    terms = [{"key": "olive press", "term": "Olive press", "url": "/own", "priority": True}, {"key": "stone mill", "term": "stone mill", "url": "/mill", "priority": False}]
+    html = "<p>An olive PRESS stands here.</p><p>Behind it, one stone mill turns.</p>"
     out, made = insert_links(html, terms, 5)
-    assert [(m["term"], m["priority"], m["context"]) for m in made] == [("Priority phrase", True, "Priority phrase leads the way."), ("automatic term", False, "Meanwhile, the automatic term waits here.")]
-    assert '<a href="/p" class="interlinked-anchor" data-source="priority">Priority phrase</a> leads' in out and strip_links(out) == html
-    for skipped in ("<h1>automatic term</h1>", "<p><a href='x'>automatic term</a></p>", "<pre>automatic term</pre>", "<p>automatic terms</p>", "<p><!-- automatic term --></p>"):
+    assert [(m["term"], m["priority"], m["context"]) for m in made] == [("Olive press", True, "An olive PRESS stands here."), ("stone mill", False, "Behind it, one stone mill turns.")]
+    assert '<a href="/own" class="interlinked-anchor" data-source="priority">olive PRESS</a> stands' in out and strip_links(out) == html
+    many = [{"key": x, "term": x, "url": x, "priority": x == "d"} for x in "abcd"]
+    assert [m["term"] for m in insert_links("<p>a <b>b</b> <i>c</i> <u>a d</u></p><p>c</p>", many, 9, 2)[1]] == ["a", "b", "d", "c"]
+    assert [m["term"] for m in insert_links("<blockquote>a b <p>c a</p></blockquote>", many, 9)[1]] == ["a", "c"] and len(insert_links("<p>a</p><p>b</p>", many, 1)[1]) == 1
+    for skipped in ("<h1>stone mill</h1>", "<p><a href='x'>stone mill</a></p>", "<pre>stone mill</pre>", "<p>stone mills</p>", "<p><!-- stone mill --></p>"):
         assert insert_links(skipped, terms)[1] == []
     assert insert_links("", terms) == ("", []) and insert_links("<ul><li>a &amp; <br>b</ul>", terms)[0] == "<ul><li>a &amp; <br/>b</li></ul>"
 
@@ -114,10 +154,10 @@ def test_plain_links_match_html_links(spark):
 
 
 def test_dictionary_prefers_pairs(spark):
-    pairs = spark.createDataFrame([(1, 0, "Priority  Phrase", "/custom")], "id int, pos int, term string, url string")
-    slugs = spark.createDataFrame([(1, "priority phrase", "/slug"), (1, "lamp", "/l"), (1, "long lamp", "/ll"), (1, " ", "/e")], "id int, slug string, url string")
+    pairs = spark.createDataFrame([(1, 0, "Olive  Press", "/custom")], "id int, pos int, term string, url string")
+    slugs = spark.createDataFrame([(1, "olive press", "/slug"), (1, "lamp", "/l"), (1, "long lamp", "/ll"), (1, " ", "/e")], "id int, slug string, url string")
     got = [(r["key"], r["url"], r["priority"]) for r in K.term_dictionary(pairs, slugs).orderBy("rank").collect()]
-    assert got == [("priority phrase", "/custom", True), ("long lamp", "/ll", False), ("lamp", "/l", False)]
+    assert got == [("olive press", "/custom", True), ("long lamp", "/ll", False), ("lamp", "/l", False)]
 
 
 def test_matching_slugs_in_any_script(spark):
