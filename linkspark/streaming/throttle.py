@@ -4,6 +4,13 @@ A hit is admitted if fewer than ``limit`` admitted hits of its key lie less than
 ``window`` seconds before it; refused hits leave no trace, so no window count
 over the raw hits can tell.  State is the key's last admitted times, at most
 ``limit`` of them, whatever the traffic.
+
+Decisions of one key depend on each other, but not for ever.  Time is cut into
+bins of one window.  If a bin and the one before it hold at most ``limit`` raw hits of a
+key together, all hits of the bin are admitted whatever came earlier, and they alone are live
+when the next bin begins: there the key's history is cut, the bin's
+hits going along as known.  Only stretches of bins over the limit are walked in
+order, so a key with a third of all hits is many tasks unless it is always refused.
 """
 
 from __future__ import annotations
@@ -13,8 +20,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def client_ip(forwarded: Column, remote: Column) -> Column:
@@ -40,41 +48,62 @@ def admit(times: list[float], state: list[float], limit: int, window: float) ->
     return out, list(live)
 
 
+def stretches(hits: DataFrame, keys: list[str], at: str, limit: int, window_us: int) -> DataFrame:
+    """``hits`` with ``__stretch`` and ``__known``: rows of one key and stretch are to be walked together,
+    known ones (copies of the hits of the bin before a stretch) being admitted.  Keys meet by a hash: if two share one, their
+    bins are counted together, which only makes cuts rarer."""
+    own = hits.withColumn("__h", F.xxhash64(*keys)).withColumn("__bin", F.floor(F.col(at) / window_us).cast("long"))
+    bins = own.groupBy("__h", "__bin").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("__h").orderBy("__bin")
+    back = lambda k: F.sum("n").over(w.rangeBetween(-k, -1))
+    # the bin before and the one before that, empty ones too
+    cut = F.coalesce(back(2), F.lit(0)) <= limit
+    marked = bins.select("__h", "__bin", cut.alias("cut")).withColumn("__stretch", F.max(F.when(F.col("cut"), F.col("__bin"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    follows = F.lead(F.when(F.col("cut"), F.col("__bin"))).over(w)
+    marked = marked.select("__h", "__bin", "__stretch", F.when(follows == F.col("__bin") + 1, follows).alias("next"))
+    placed = own.join(marked, ["__h", "__bin"])
+    copies = F.when(F.col("next").isNull(), F.array(F.struct(F.col("__stretch").alias("s"), F.lit(False).alias("k")))).otherwise(F.array(F.struct(F.col("__stretch").alias("s"), F.lit(False).alias("k")), F.struct(F.col("next").alias("s"), F.lit(True).alias("k"))))
+    return placed.withColumn("__x", F.explode(copies)).select(*hits.columns, "__h", F.col("__x.s").alias("__stretch"), F.col("__x.k").alias("__known"))
+
+
 def admitted(hits: DataFrame, keys: list[str], order: list[str], limit: int, window_us: int) -> DataFrame:
     """``hits`` with ``admitted``.  ``order`` begins with the event's time in microseconds; the rest breaks ties.
 
-    Rows are brought together by key and sorted within their partition, and one pass keeps
-    ``limit`` times of the current key: a key with a third of all hits is a long scan for its
-    task but is never held in memory.  Rows with a null time are refused; null keys are keys."""
-    sorted_ = hits.repartition(*keys).sortWithinPartitions(*keys, *order)
+    Rows are brought together by key and stretch (see :func:`stretches`) and sorted within their partition, and one pass
+    keeps ``limit`` times of the current one; no stretch is ever held in memory.
+    Rows with a null time are refused; null keys are keys; a limit below 1 refuses all."""
     names = hits.columns
     at = names.index(order[0])
+    timed = stretches(hits.where(F.col(order[0]).isNotNull()), keys, order[0], max(limit, 0), window_us)
+    sorted_ = timed.repartition("__h", "__stretch").sortWithinPartitions("__h", *keys, "__stretch", *order).drop("__h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, live = None, deque()
         for b in batches:
-            key = list(zip(*[b.column(names.index(k)).to_pylist() for k in keys]))
+            key = zip(*[b.column(names.index(k)).to_pylist() for k in keys], b.column(len(names)).to_pylist())
+            known = b.column(len(names) + 1).to_pylist()
             out = []
-            for k, t in zip(key, b.column(at).to_pylist()):
+            for k, t, sure in zip(key, b.column(at).to_pylist(), known):
                 if k != current:
                     current, live = k, deque()
-                if t is None:
-                    out.append(False)
-                    continue
                 while live and live[0] <= t - window_us:
                     live.popleft()
                 out.append(len(live) < limit)
                 if out[-1]:
                     live.append(t)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], [*b.schema.names, "admitted"])
+            own = pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out, pa.bool_())], [*names, "admitted"])
+            yield own.filter(pa.array([not x for x in known], pa.bool_()))
+
+    late = hits.where(F.col(order[0]).isNull()).withColumn("admitted", F.lit(False))
+    schema = StructType([*hits.schema.fields, StructField("admitted", BooleanType())])
+    return sorted_.mapInArrow(run, schema).unionByName(late)
 
-    schema = hits.schema.add("admitted", "boolean")
-    return sorted_.mapInArrow(run, schema)
 
+def admitted_stream(hits: DataFrame, limit: int, window_s: float, late_s: float = 0) -> DataFrame:
+    """Streaming form over ``hits(route, ip, ts)``: (route, ip, ts, admitted).  Within a batch hits are taken by time.
 
-def admitted_stream(hits: DataFrame, limit: int, window_s: float) -> DataFrame:
-    """Streaming form over ``hits(route, ip, ts)``: (route, ip, ts, admitted), state kept by key and
-    dropped a window after its last admission.  Within a batch hits are taken by time."""
+    State is kept by key and expires by event time: once the watermark, ``late_s`` behind the latest hit, is a window
+    past a key's last admission, none of it can count any more.  A pause in the input expires nothing."""
 
     def step(key, parts, state):
         if state.hasTimedOut:
@@ -85,7 +114,9 @@ def admitted_stream(hits: DataFrame, limit: int, window_s: float) -> DataFrame:
         times = [t.timestamp() for t in rows["ts"]]
         out, live = admit(times, live, limit, window_s)
         state.update((live,))
-        state.setTimeoutDuration(max(1, int(window_s * 1000)))
+        if live:
+            state.setTimeoutTimestamp(max(int((live[-1] + window_s) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"route": key[0], "ip": key[1], "ts": rows["ts"].to_numpy(), "admitted": out})
 
-    return hits.groupBy("route", "ip").applyInPandasWithState(step, "route string, ip string, ts timestamp, admitted boolean", "live array<double>", "append", "ProcessingTimeTimeout")
+    dated = hits.withWatermark("ts", f"{late_s} seconds")
+    return dated.groupBy("route", "ip").applyInPandasWithState(step, "route string, ip string, ts timestamp, admitted boolean", "live array<double>", "append", "EventTimeTimeout")

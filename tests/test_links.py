@@ -16,7 +16,7 @@ from linkspark.plans.suggest import batch, dry_run, ready, suggest_links
 from linkspark.sources.databases import jdbc_options
 from linkspark.sources.pages import read_pages, suggestion_tsv
 from linkspark.sources.sitemaps import decoded, fetch_sitemaps, parse_sitemaps, sitemap_source
-from linkspark.streaming.throttle import admit, admitted, admitted_stream, client_ip
+from linkspark.streaming.throttle import admit, admitted, admitted_stream, client_ip, stretches
 
 HOME = "https://example.com"
 
@@ -228,17 +228,28 @@ def test_throttle(spark, tmp_path):
             assert got[hit] == (len(live) < 3)
             if got[hit]:
                 live.append(t)
+    # a hot key with bursts and quiet times is cut into several stretches with the same decisions
+    times = sorted(rng.randrange(0, 4000) for _ in range(900)) + [10_000 + k // 3 for k in range(200)]
+    hot = spark.createDataFrame([(k, "a", None, t) for k, t in enumerate(times)], "hit int, route string, ip string, us long")
+    for limit, window in ((14, 50), (12, 50), (30, 100), (1, 7), (0, 50)):
+        want = admit(times, [], limit, window)[0]
+        rows = admitted(hot, ["route", "ip"], ["us", "hit"], limit, window).collect()
+        assert [r["admitted"] for r in sorted(rows, key=lambda r: r["hit"])] == want and len(rows) == len(times)
+    assert 3 < stretches(hot, ["route", "ip"], "us", 30, 100).select("__stretch").distinct().count()
     assert got[500] is False and admitted(df.limit(0), ["route", "ip"], ["us", "hit"], 3, 50).count() == 0
     assert spark.range(1).select(client_ip(F.lit("1.2.3.4, 5"), F.lit("9")).alias("a"), client_ip(F.lit(None).cast("string"), F.lit(None).cast("string")).alias("b")).first() == ("1.2.3.4", "0.0.0.0")
 
 
 def test_throttle_stream(spark, tmp_path):
-    hits = spark.createDataFrame([("r", "i", f"2024-01-01 00:00:0{k}") for k in range(4)] + [("r", "j", "2024-01-01 00:00:00")], "route string, ip string, ts string").withColumn("ts", F.to_timestamp("ts"))
-    hits.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(hits.schema).parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else timeouts keep the query busy
-    q = admitted_stream(stream, 2, 60).writeStream.format("memory").queryName("throttled").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    got = sorted((r["ip"], r["ts"].second, r["admitted"]) for r in spark.table("throttled").collect())
-    assert got == [("i", 0, True), ("i", 1, True), ("i", 2, False), ("i", 3, False), ("j", 0, True)]
+    """Times of two files, read a file a batch: state outlives the pause between batches and leaves by event time."""
+    at = lambda k: f"2024-01-01 00:{k // 60:02d}:{k % 60:02d}"
+    rows = [[("r", "i", at(k)) for k in (0, 1, 2, 3)] + [("r", "j", at(0))], [("r", "i", at(k)) for k in (30, 61, 62, 63)], [("r", "j", at(300)), ("r", "i", at(301))]]
+    for n, part in enumerate(rows):
+        spark.createDataFrame(part, "route string, ip string, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        schema = "route string, ip string, ts timestamp"
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+        q = admitted_stream(stream, 2, 60).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = sorted((r["ip"], r["ts"].minute * 60 + r["ts"].second, r["admitted"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("i", 0, True), ("i", 1, True), ("i", 2, False), ("i", 3, False), ("i", 30, False), ("i", 61, True), ("i", 62, True), ("i", 63, False), ("i", 301, True), ("j", 0, True), ("j", 300, True)]
