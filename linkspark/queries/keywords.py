@@ -14,7 +14,7 @@ from linkspark.sources.sitemaps import parse_sitemaps, robots_text, sitemap_xml
 from linkspark.sources.tables import table
 from linkspark.streaming.throttle import admitted, client_ip, gated
 
-LIMIT, WINDOW_S = 60, 60
+LIMIT, WINDOW_S, WEEK_US = 60, 60, 604_800_000_000
 
 
 def slug_from_url(spark, sf):
@@ -94,7 +94,10 @@ def _docs(spark, sf) -> DataFrame:
 def _slugs(spark, sf) -> DataFrame:
     links = table(spark, sf, "site_link")
     own = L.slug_map(links, ["domain_id"]).withColumnRenamed("domain_id", "scope")
-    return own.unionByName(L.slug_map(links).withColumn("scope", F.lit(-1).cast("long")))
+    every = own.unionByName(L.slug_map(links).withColumn("scope", F.lit(-1).cast("long")))
+    # page titles up to their colon, which texts do hold; scope -1 is for texts without a site
+    names = table(spark, sf, "page").select("domain_id", X.strip(F.regexp_extract("title", "^[^:：]*", 0)).alias("slug"), "url").where("slug <> '' and url is not null")
+    return every.unionByName(names.select(F.explode(F.array("domain_id", F.lit(-1).cast("long"))).alias("scope"), "slug", "url").groupBy("scope", "slug").agg(F.min("url").alias("url")))
 
 
 def _terms(spark, sf) -> DataFrame:
@@ -161,8 +164,8 @@ def rate_limit(spark, sf):
 
 
 def rate_limit_tight(spark, sf):
-    """The same with 2 hits an hour, so that refusals occur on sparse traffic."""
-    done = admitted(_hits(spark, sf), ["route", "ip"], ["us", "hit_id"], 2, 3_600_000_000)
+    """The same with a hit a week, so that a good part of sparse traffic is refused."""
+    done = admitted(_hits(spark, sf), ["route", "ip"], ["us", "hit_id"], 1, WEEK_US)
     return done.select("hit_id", "route", "ip", "admitted")
 
 
@@ -229,8 +232,10 @@ SELECT DISTINCT id, term FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.id = a
     "robots_documents": "SELECT id, 'User-agent: *' || chr(10) || 'Allow: /' || chr(10) || 'Sitemap: ' || regexp_replace(base_url, '/+$', '') || '/sitemap.xml' || chr(10) AS robots FROM site_domain",
     "keyword_matches": f"""
 WITH d AS (SELECT id, coalesce(domain_id, -1) AS scope, coalesce(source_excerpt, '') AS text FROM link_generation),
-s AS (SELECT domain_id AS scope, slug, arg_max(url, id) AS url FROM site_link WHERE slug IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT -1, slug, arg_max(url, id) FROM site_link WHERE slug IS NOT NULL GROUP BY 2)
-SELECT d.id, s.slug, s.url FROM d JOIN s USING (scope) WHERE {_collapse('slug')} <> '' AND contains(lower(text), lower({_collapse('slug')}))
+t AS (SELECT domain_id, {_strip("regexp_extract(title, '^[^:：]*')")} AS slug, url FROM page WHERE url IS NOT NULL),
+s AS (SELECT domain_id AS scope, slug, arg_max(url, id) AS url FROM site_link WHERE slug IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT -1, slug, arg_max(url, id) FROM site_link WHERE slug IS NOT NULL GROUP BY 2
+  UNION ALL SELECT domain_id, slug, min(url) FROM t WHERE slug <> '' GROUP BY 1, 2 UNION ALL SELECT -1, slug, min(url) FROM t WHERE slug <> '' GROUP BY 2)
+SELECT DISTINCT d.id, s.slug, s.url FROM d JOIN s USING (scope) WHERE {_collapse('slug')} <> '' AND contains(lower(text), lower({_collapse('slug')}))
   AND regexp_matches(lower(text), '(^|[^A-Za-z0-9_])' || regexp_escape(lower({_collapse('slug')})) || '([^A-Za-z0-9_]|$)')""",
     "keyword_dictionary": f"""
 WITH m AS (SELECT domain_id AS id, {_collapse('slug')} AS term, arg_max(url, id) AS url FROM site_link WHERE slug IS NOT NULL GROUP BY 1, slug),
@@ -246,7 +251,7 @@ WITH a AS (SELECT page_id, url, list_transform(list_filter(string_split(regexp_e
 SELECT page_id, array_to_string(n, ',') AS names, contains(url, '?') AND len(list_filter(n, lambda x: NOT (x LIKE 'utm%' OR x LIKE 'ref%' OR x = 'replytocom'))) = 0 AS tracking FROM a""",
     "request_clients": _HITS + " SELECT route, ip, count(*) AS n FROM hits GROUP BY 1, 2",
     "rate_limit": _limited(LIMIT, WINDOW_S * 1_000_000),
-    "rate_limit_tight": _limited(2, 3_600_000_000),
+    "rate_limit_tight": _limited(1, WEEK_US),
     "priority_pairs": f"""
 WITH a AS (SELECT id, generate_subscripts(priority_pairs, 1) AS line_no, unnest(priority_pairs) AS p FROM link_generation),
 b AS (SELECT id, line_no, {_strip('p.term')} AS term, {_strip('p.url')} AS url FROM a WHERE p.term IS NOT NULL AND p.url IS NOT NULL)

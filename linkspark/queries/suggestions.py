@@ -190,7 +190,7 @@ _ISO = r"'^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d([.]\d+)?)?([+-]\d\d:?\d\d)?)?$'"
 
 #: Common table expressions shared by the statements below; one that isn't used costs nothing.
 _BASE = f"""
-WITH p0 AS (
+WITH RECURSIVE p0 AS (
   SELECT page_id, coalesce(url, '') AS url, coalesce(title, '') AS title, coalesce(text, html, '') AS text, nullif(lang, '') AS lang,
     list_filter(coalesce(tags, []), lambda x: x IS NOT NULL) AS tags, coalesce(type, 'other') AS type,
     regexp_replace(published_at, '[Zz]$', '+00:00') AS pub,
@@ -278,6 +278,56 @@ _WEIGHED = " UNION ALL ".join(f"SELECT src, tgt, {w} * {k} AS v, '{k}' AS k, {k}
 _STOP = "('the','and','or','to','of','a','in','for','on','with','at','by','an','be','is')"
 _SHORT = "IN ('entity', 'brand', 'tag')"
 
+_REASONS = f""", wv AS ({_WEIGHED}),
+top AS (SELECT *, row_number() OVER (PARTITION BY src, tgt ORDER BY v DESC, k DESC) AS n FROM wv QUALIFY n <= 2),
+reasons AS (SELECT src, tgt, coalesce(string_agg(CASE WHEN f >= 0.85 THEN 'excellent ' WHEN f >= 0.6 THEN 'strong ' ELSE 'good ' END || said, '; ' ORDER BY n), '') AS reason FROM top GROUP BY 1, 2)
+"""
+
+
+def _anchors(pairs: str) -> str:
+    """``an``: the anchors of the pairs of a common table expression.  What depends on a page alone is made by page."""
+    return f""", tt AS (SELECT page_id, {_strip('title')} AS name, {_words('title')} AS tw, lower(title) AS ltitle, lower(text) AS ltext, brand, head_terms, tags FROM p),
+pp AS (
+  SELECT page_id, name AS phrase, 'exact' AS variant FROM tt
+  UNION SELECT page_id, CASE WHEN len(tw) <= 4 THEN name ELSE array_to_string(tw[1:4], ' ') END, 'partial' FROM tt
+  UNION SELECT page_id, CASE WHEN len(tw) <= 4 THEN name ELSE array_to_string(tw[-3:], ' ') END, 'partial' FROM tt
+  UNION SELECT page_id, brand, 'brand' FROM tt WHERE brand IS NOT NULL
+  UNION SELECT page_id, unnest(head_terms), 'partial' FROM tt
+  UNION SELECT page_id, replace(g, '-', ' '), 'tag' FROM (SELECT page_id, ltitle, ltext, {_strip("unnest(tags)")} AS g FROM tt) WHERE g <> '' AND (contains(ltitle, lower(g)) OR contains(ltext, lower(g)))),
+ph AS (
+  SELECT src, tgt, {_strip('phrase')} AS phrase, variant FROM {pairs} JOIN pp ON page_id = tgt
+  UNION SELECT src, tgt, {_strip('entity_name')}, CASE WHEN entity_type IN ('entity', 'exact', 'partial', 'brand', 'tag', 'generic') THEN entity_type ELSE 'entity' END FROM {pairs} WHERE entity_name IS NOT NULL),
+po AS (SELECT src, tgt, variant, phrase, ltext, text, instr(ltext, lower(phrase)) - 1 AS start_off, length(phrase) AS n FROM ph JOIN (SELECT page_id, text, lower(text) AS ltext FROM p) ON page_id = src WHERE phrase <> '' AND instr(ltext, lower(phrase)) > 0),
+pv AS (SELECT *, {_words('phrase')} AS w FROM po),
+pw AS (SELECT src, tgt, variant, start_off, start_off + n AS end_off, length(text) AS full_n, substr(text, start_off + 1, n) AS a FROM pv
+  WHERE CASE WHEN variant {_SHORT} THEN len(w) BETWEEN 1 AND 5 ELSE len(w) BETWEEN 2 AND 7 AND len(list_filter(w, lambda x: lower(x) NOT IN {_STOP})) > 0 END),
+px AS (SELECT *, {_words('a')} AS w, CASE variant WHEN 'entity' THEN 1.0 WHEN 'exact' THEN 0.95 WHEN 'partial' THEN 0.8 WHEN 'brand' THEN 0.75 WHEN 'tag' THEN 0.7 WHEN 'generic' THEN 0.6 ELSE 0.5 END AS vw,
+  lower(regexp_replace({_strip('a')}, '{WS}+', ' ', 'g')) AS norm FROM pw),
+py AS (SELECT *, vw * (0.7 + 0.2 * (1 - start_off * 1.0 / greatest(full_n, 1)) + 0.1 * greatest(0, 1 - abs(len(w) - 4) / 10.0)) AS sc, row_number() OVER (PARTITION BY src, tgt, norm ORDER BY vw DESC, start_off, end_off, a, variant) AS r1
+  FROM px WHERE len(list_filter(w, lambda x: lower(x) NOT IN {_STOP})) > 0 AND CASE WHEN variant {_SHORT} THEN len(w) = 1 ELSE len(w) BETWEEN 2 AND 7 END),
+pz AS (SELECT *, row_number() OVER (PARTITION BY src, tgt ORDER BY round(sc, 9) DESC, start_off, end_off, norm) AS r2 FROM py WHERE r1 = 1 QUALIFY r2 <= 2),
+an AS (SELECT src, tgt, row_number() OVER (PARTITION BY src, tgt ORDER BY start_off, r2) - 1 AS place, a AS text, start_off, end_off, variant FROM pz)
+"""
+
+
+#: ``ev``: the pairs that stand for choice; ``picked``: those taken, each source's list walked in order.
+_CHOICE = _REASONS + f""",
+ev0 AS (SELECT src, tgt, rank, score, entity_name, entity_type, t.url AS url, least(3 + greatest(s.n_words, 1) // 500, 12) AS budget,
+    list_filter([CASE WHEN both_lang AND s.lang <> t.lang THEN 'lang_mismatch' END, CASE WHEN t.type = 'product' AND len(t.body_tokens) < 250 THEN 'thin_target' END, CASE WHEN list_contains(s.outbound_links, t.url) THEN 'dup_anchor' END], lambda x: x IS NOT NULL) AS flags,
+    CASE WHEN t.is_pillar OR t.type IN ('category', 'pillar') THEN 'intro' WHEN t.is_conversion_page THEN 'body' WHEN t.is_reference THEN 'conclusion' ELSE 'body' END AS placement,
+    CASE WHEN t.is_pillar OR t.is_hub OR (len(t.taxonomy) > 0 AND s.taxonomy[1:len(t.taxonomy)] = t.taxonomy) THEN 'parent'
+      WHEN coalesce(s.parent_id <> '' AND s.parent_id = t.parent_id, false) OR (len(list_intersect(s.tags, t.tags)) > 0 AND s.type = t.type) THEN 'sibling' WHEN t.is_money_page THEN 'money' ELSE 'other' END AS role
+  FROM sc WHERE allowed AND score >= 0.4 AND NOT (both_lang AND s.lang <> t.lang AND f_semantic < 0.18)){_anchors("ev0")},
+ev AS (SELECT ev0.*, texts FROM ev0 JOIN (SELECT src, tgt, list(text ORDER BY place) AS texts FROM an GROUP BY 1, 2) USING (src, tgt)),
+items AS (SELECT src, tgt, url, budget, list_transform(texts, lambda x: lower(x)) AS low, row_number() OVER (PARTITION BY src ORDER BY round(score, 9) DESC, rank) AS k FROM ev),
+walk AS (
+  SELECT DISTINCT src, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS tgt, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS urls, CAST([] AS VARCHAR[]) AS used, false AS fits FROM items
+  UNION ALL
+  SELECT src, k, tgt, CASE WHEN fits THEN n + 1 ELSE n END, CASE WHEN fits THEN list_append(urls, url) ELSE urls END, CASE WHEN fits THEN list_concat(used, low) ELSE used END, fits FROM (
+    SELECT w.src, i.k, i.tgt, w.n, w.urls, w.used, i.url, i.low, w.n < i.budget AND NOT list_contains(w.urls, i.url) AND len(list_intersect(w.used, i.low)) = 0 AS fits FROM walk w JOIN items i ON i.src = w.src AND i.k = w.k + 1)),
+picked AS (SELECT src, tgt, n FROM walk WHERE fits)
+"""
+
 SQL = {
     "tokenize_counts": _BASE + "SELECT page_id, len(title_tokens) AS title_tokens, len(body_tokens) AS body_tokens, n_words FROM p",
     "term_frequency": _BASE + "SELECT field, page_id, term, tf FROM post",
@@ -300,29 +350,24 @@ SELECT src, tgt, CAST(language AS DOUBLE) AS language, CAST(review AS DOUBLE) AS
     "recall_candidates": _BASE + "SELECT src, tgt, round(recall, 6) AS recall FROM c",
     "features_wide": _BASE + "SELECT src, tgt, " + ", ".join(f"round(CAST({k} AS DOUBLE), 6) AS {k}" for k in _FEATURES) + " FROM ft",
     "score_pairs": _BASE + "SELECT src, tgt, round(score, 6) AS score FROM sc",
-    "reason_text": _BASE + f""", wv AS ({_WEIGHED}),
-top AS (SELECT *, row_number() OVER (PARTITION BY src, tgt ORDER BY v DESC, k DESC) AS n FROM wv QUALIFY n <= 2)
-SELECT src, tgt, coalesce(string_agg(CASE WHEN f >= 0.85 THEN 'excellent ' WHEN f >= 0.6 THEN 'strong ' ELSE 'good ' END || said, '; ' ORDER BY n), '') AS reason FROM top GROUP BY 1, 2""",
+    "reason_text": _BASE + _REASONS + "SELECT * FROM reasons",
     "link_budgets": _BASE + "SELECT page_id, CAST(least(3 + greatest(n_words, 1) // 500, 12) AS BIGINT) AS budget FROM p",
     "inferred_entities": _BASE + "SELECT page_id, unnest(range(len(names))) AS pos, unnest(names) AS name FROM inferred",
-    "anchor_select": _BASE + f""", tt AS (SELECT src, tgt, s, t, {_strip('t.title')} AS title, {_words('t.title')} AS tw, entity_name, entity_type FROM c),
-ph0 AS (
-  SELECT src, tgt, s, t, title AS phrase, 'exact' AS variant FROM tt
-  UNION SELECT src, tgt, s, t, CASE WHEN len(tw) <= 4 THEN title ELSE array_to_string(tw[1:4], ' ') END, 'partial' FROM tt
-  UNION SELECT src, tgt, s, t, CASE WHEN len(tw) <= 4 THEN title ELSE array_to_string(tw[-3:], ' ') END, 'partial' FROM tt
-  UNION SELECT src, tgt, s, t, entity_name, CASE WHEN entity_type IN ('entity', 'exact', 'partial', 'brand', 'tag', 'generic') THEN entity_type ELSE 'entity' END FROM tt WHERE entity_name IS NOT NULL
-  UNION SELECT src, tgt, s, t, t.brand, 'brand' FROM tt WHERE t.brand IS NOT NULL
-  UNION SELECT src, tgt, s, t, unnest(t.head_terms), 'partial' FROM tt
-  UNION SELECT src, tgt, s, t, replace(g, '-', ' '), 'tag' FROM (SELECT src, tgt, s, t, {_strip("unnest(t.tags)")} AS g FROM tt) WHERE g <> '' AND (contains(lower(t.title), lower(g)) OR contains(lower(t.text), lower(g)))),
-ph AS (SELECT src, tgt, s.text AS text, {_strip('phrase')} AS phrase, variant FROM ph0),
-pv AS (SELECT *, {_words('phrase')} AS w FROM ph WHERE phrase <> ''),
-po AS (SELECT src, tgt, text, variant, instr(lower(text), lower(phrase)) - 1 AS start_off, length(phrase) AS n FROM pv
-  WHERE instr(lower(text), lower(phrase)) > 0 AND CASE WHEN variant {_SHORT} THEN len(w) BETWEEN 1 AND 5 ELSE len(w) BETWEEN 2 AND 7 AND len(list_filter(w, lambda x: lower(x) NOT IN {_STOP})) > 0 END),
-pw AS (SELECT src, tgt, variant, start_off, start_off + n AS end_off, length(text) AS full_n, substr(text, start_off + 1, n) AS a FROM po),
-px AS (SELECT *, {_words('a')} AS w, CASE variant WHEN 'entity' THEN 1.0 WHEN 'exact' THEN 0.95 WHEN 'partial' THEN 0.8 WHEN 'brand' THEN 0.75 WHEN 'tag' THEN 0.7 WHEN 'generic' THEN 0.6 ELSE 0.5 END AS vw,
-  lower(regexp_replace({_strip('a')}, '{WS}+', ' ', 'g')) AS norm FROM pw),
-py AS (SELECT *, vw * (0.7 + 0.2 * (1 - start_off * 1.0 / greatest(full_n, 1)) + 0.1 * greatest(0, 1 - abs(len(w) - 4) / 10.0)) AS sc, row_number() OVER (PARTITION BY src, tgt, norm ORDER BY vw DESC, start_off, end_off, a, variant) AS r1
-  FROM px WHERE len(list_filter(w, lambda x: lower(x) NOT IN {_STOP})) > 0 AND CASE WHEN variant {_SHORT} THEN len(w) = 1 ELSE len(w) BETWEEN 2 AND 7 END),
-pz AS (SELECT *, row_number() OVER (PARTITION BY src, tgt ORDER BY round(sc, 9) DESC, start_off, end_off, norm) AS r2 FROM py WHERE r1 = 1 QUALIFY r2 <= 2)
-SELECT src, tgt, row_number() OVER (PARTITION BY src, tgt ORDER BY start_off, r2) - 1 AS place, a AS text, start_off, end_off, variant FROM pz""",
+    "anchor_select": _BASE + _anchors("c") + "SELECT src, tgt, place, text, start_off, end_off, variant FROM an",
+    "suggestions": _BASE + _CHOICE + """
+SELECT w.src, w.n AS place, e.url AS target_url, reason, round(score, 6) AS score, array_to_string(texts, '|') AS anchors, placement AS placement_hint, 'follow' AS rel, array_to_string(flags, ',') AS risk_flags, role
+FROM picked w JOIN ev e USING (src, tgt) JOIN reasons USING (src, tgt)""",
+    "suggestions_tsv": _BASE + _CHOICE + "SELECT printf('%.2f', score) || chr(9) || e.url || chr(9) || '[' || array_to_string(texts, ', ') || ']' AS value FROM picked w JOIN ev e USING (src, tgt)",
+    "suggestion_inbound": _BASE + _CHOICE + "SELECT page_id, count(w.src) AS inbound FROM p LEFT JOIN picked w ON w.tgt = page_id GROUP BY 1",
+    "suggestion_variants": _BASE + _CHOICE + "SELECT variant, count(*) AS n FROM picked JOIN an USING (src, tgt) GROUP BY 1",
+    "dry_run_metrics": _BASE + _CHOICE + """,
+kinds AS (SELECT variant, count(*) AS n FROM picked JOIN an USING (src, tgt) GROUP BY 1),
+shape AS (SELECT page_id, coalesce(any_value(click_depth), 3) AS depth, count(w.src) AS inbound FROM p LEFT JOIN picked w ON w.tgt = page_id GROUP BY 1)
+SELECT round((SELECT count(DISTINCT src) FROM picked) / (SELECT n FROM st), 6) AS coverage, round((SELECT avg(CASE WHEN inbound = 0 THEN 1.0 ELSE 0.0 END) FROM shape), 6) AS orphan_rate,
+  round((SELECT avg(CASE WHEN inbound > 0 THEN greatest(1.0, depth - 0.5 * inbound) ELSE depth END) FROM shape), 6) AS avg_click_depth_after,
+  round((SELECT CASE WHEN count(*) > 1 THEN -sum(n / t * ln(n / t)) / ln(count(*)) ELSE 0 END FROM kinds CROSS JOIN (SELECT sum(n) AS t FROM kinds)), 6) AS anchor_diversity_index,
+  round((SELECT sum(r) FROM (SELECT count(*) - count(DISTINCT tgt) AS r FROM picked GROUP BY src)) / (SELECT n FROM st), 6) AS dup_target_rate,
+  round((SELECT avg(score) FROM picked JOIN ev USING (src, tgt)), 6) AS mean_score_selected, round((SELECT avg(score) FROM ev ANTI JOIN picked USING (src, tgt)), 6) AS mean_score_rejected,
+  round((SELECT avg(CASE WHEN list_contains(flags, 'lang_mismatch') THEN 1.0 ELSE 0.0 END) FROM picked JOIN ev USING (src, tgt)), 6) AS language_mismatch_rate,
+  (SELECT '{' || string_agg('"' || variant || '":' || n, ',' ORDER BY variant) || '}' FROM kinds) AS anchor_variant_counts""",
 }
