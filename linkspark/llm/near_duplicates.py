@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.workspace import materialise
+from linkspark.workspace import discard, materialise
 
 BANDS, ROWS, BITS = 48, 5, 4
 #: Characters that are words of their own: kana, Han and Thai.
@@ -149,7 +149,42 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: floa
     close = materialise(met.join(left, "a").join(right, "b").where(sized).where(f"{estimate('sa', 'sb')} >= {threshold - slack}D").select("a", "b"), "close")
     wanted = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = materialise(pages.join(wanted, "id", "left_semi").mapInArrow(_shingle_lists(size), "id long, s array<long>").dropDuplicates(["id"]), "shingles")
+    discard(sketch)
     both = close.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("t"))
     links = both.select("a", "b", (F.col("k") / (F.col("t") - F.col("k"))).alias("jaccard")).where(f"jaccard >= {threshold}")
     return links, members
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): each node of ``links(a, b)`` with the smallest node of its connected component.
+
+    Stars are merged in turn: first every larger neighbour of a node is tied to the node's smallest one,
+    then every smaller, which makes paths of any length one star in a logarithmic number of
+    rounds.  A round is two aggregations by node that combine before they shuffle, and two joins whose
+    hot side is split; its edges are a table in the shared folder."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges, seen = materialise(edges, "stars"), None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        made = materialise(small, "stars")
+        now = tuple(made.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        discard(edges)
+        edges = made
+        if now == seen or not now[0]:
+            break
+        seen = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def near_duplicate_groups(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, group) of every record that has a near-duplicate or an equal: records that links lead to from one
+    another share a group, named by its smallest id.  Other records have no row."""
+    roots = components(links).select(F.col("node").alias("rep"), "root")
+    copies = members.groupBy("rep").agg(F.count("*").alias("n"))
+    placed = copies.join(roots, "rep", "left").where("root is not null or n > 1").select("rep", F.coalesce("root", "rep").alias("group"))
+    return members.join(placed, "rep").select("id", "group")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkspark.llm.contamination import leaked_items
-from linkspark.llm.near_duplicates import WORD, near_duplicates
+from linkspark.llm.near_duplicates import WORD, components, near_duplicate_groups, near_duplicates
 from linkspark.llm.set_pairs import _keys, cell_links, expand_pairs, normal_items, pivot_cells, similar_between, similar_sets
 
 
@@ -110,6 +110,28 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
 
 
+def joined(edges):
+    home = {}
+    for a, b in edges:
+        both = home.setdefault(a, {a}) | home.setdefault(b, {b})
+        for k in both:
+            home[k] = both
+    return sorted(list(x) for x in {tuple(sorted(v)) for v in home.values()})
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    path = [(k, k + 1) for k in range(300)] + [(1000 - k, 999 - k) for k in range(60)]
+    edges = path + [(2000, k) for k in range(2001, 2200)] + [(rng.randrange(3000, 3200), rng.randrange(3000, 3200)) for _ in range(90)]
+    edges = [(a, b) for a, b in edges if a != b]
+    rows = components(spark.createDataFrame(edges + edges[:5] + [(7, 7)], "a long, b long")).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["root"], set()).add(r["node"])
+    assert sorted(map(sorted, got.values())) == joined(edges) and len(rows) == sum(map(len, got.values())) and all(k == min(v) for k, v in got.items())
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates(spark):
     rng = random.Random(6)
     words = [f"w{k}" for k in range(4000)]
@@ -128,6 +150,10 @@ def test_near_duplicates(spark):
     sets = {i: shingles(t) for i, t in rows}
     want = sorted((a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]))
     assert pairs(links, members) == want and (1003, 1004) in want and (1005, 1006) in want and (1007, 1008) in want
+    got = {}
+    for r in near_duplicate_groups(links, members).collect():
+        got.setdefault(r["group"], set()).add(r["id"])
+    assert sorted(map(sorted, got.values())) == joined(want) and all(k == min(v) for k, v in got.items())
     links, members = near_duplicates(df.limit(0), "mark", "text")
     assert links.count() == members.count() == 0
 
