@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions import scores as S
@@ -11,7 +11,7 @@ from linkspark.operators import relevance as R
 from linkspark.operators.anchors import with_anchors
 from linkspark.operators.blocks import best_pairs
 from linkspark.operators.corpus import corpus_stats, document_frequency, postings, prepared, with_defaults
-from linkspark.operators.selection import inbound_counts, link_metrics, variant_counts
+from linkspark.operators.selection import enforce_roles, inbound_counts, variant_counts
 from linkspark.plans import suggest
 from linkspark.plans.config import settings
 from linkspark.sources.pages import suggestion_json, suggestion_tsv
@@ -166,9 +166,17 @@ def suggestion_variants(spark, sf):
     return variant_counts(suggest.batch(table(spark, sf, "page"))[0])
 
 
+def role_links(spark, sf):
+    """The three best pairs of each source by recall, completed by a parent and a sibling."""
+    evaluated = suggest.batch(table(spark, sf, "page"))[1]
+    w = Window.partitionBy("src").orderBy("rank")
+    chosen = evaluated.select("src", "tgt", F.row_number().over(w).alias("place")).where("place <= 3")
+    return enforce_roles(evaluated, chosen, CONFIG).select("src", F.col("place").cast("long").alias("place"), "tgt", "role", r6("score"))
+
+
 QUERIES = {f.__name__: f for f in (
     tokenize_counts, term_frequency, term_document_frequency, corpus_statistics, bm25_idf, body_norms, pair_relevance, bm25_title_topk, bm25_body_topk, taxonomy_overlap, business_filter, allow_candidates, pair_factors,
-    recall_candidates, features_wide, score_pairs, reason_text, link_budgets, anchor_select, inferred_entities, suggestions, suggestions_json, suggestions_tsv, dry_run_metrics, suggestion_inbound, suggestion_variants)}
+    recall_candidates, features_wide, score_pairs, reason_text, link_budgets, anchor_select, inferred_entities, suggestions, suggestions_json, suggestions_tsv, dry_run_metrics, suggestion_inbound, suggestion_variants, role_links)}
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 

@@ -1,6 +1,7 @@
 """Link suggestion, keyword links, sitemaps and throttling on the known small cases."""
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,14 +9,14 @@ from pyspark.sql import functions as F
 from linkspark.functions.html_links import insert_links, strip_links
 from linkspark.operators import keywords as K
 from linkspark.operators.corpus import PAGE
-from linkspark.operators.links import import_links, search_links, slug_map, upsert_links
-from linkspark.operators.selection import enforce_roles
+from linkspark.operators.links import append_generation, generation_totals, history, import_links, search_links, slug_map, upsert_links
+from linkspark.operators.selection import enforce_roles, greedy_links
 from linkspark.plans.config import overlay, settings
 from linkspark.operators.blocks import best_pairs
 from linkspark.plans.suggest import batch, dry_run, ready, suggest_links
 from linkspark.sources.databases import jdbc_options
 from linkspark.sources.pages import read_pages, suggestion_tsv
-from linkspark.sources.sitemaps import decoded, fetch_sitemaps, parse_sitemaps, sitemap_source
+from linkspark.sources.sitemaps import decoded, fetch_sitemaps, parse_sitemaps, read_uploads, sitemap_source
 from linkspark.streaming.throttle import admit, admitted, admitted_stream, client_ip, stretches
 
 HOME = "https://example.com"
@@ -97,16 +98,72 @@ def test_dry_run_row(spark):
     assert dry_run(frame(spark, rows).limit(0)).first()["coverage"] == 0
 
 
-def test_roles_never_change_a_greedy_choice():
+def with_roles(items, chosen, budget, role):
+    """What :func:`enforce_roles` does with one source, item by item."""
+    if budget <= 0 or any(x["role"] == role for x in chosen):
+        return chosen
+    texts = {a for c in chosen for a in c["anchors"]}
+    for x in sorted((x for x in items if x["role"] == role), key=lambda x: -x["score"]):
+        if x["url"] in {c["url"] for c in chosen} or texts & set(x["anchors"]):
+            continue
+        weakest = min(range(len(chosen)), key=lambda k: chosen[k]["score"], default=None)
+        if len(chosen) < budget:
+            return [*chosen, x]
+        return [x if k == weakest else c for k, c in enumerate(chosen)] if chosen[weakest]["score"] < x["score"] else chosen
+    return chosen
+
+
+def test_roles(spark):
     rng = random.Random(1)
-    for _ in range(2000):
-        items = sorted(({"url": f"u{rng.randrange(5)}", "role": rng.choice(["parent", "sibling", "other"]), "score": rng.random(), "anchors": rng.sample("abcdef", rng.randrange(1, 3))} for _ in range(8)), key=lambda x: -x["score"])
-        budget, chosen = rng.randrange(1, 5), []
-        for x in items:
-            if len(chosen) < budget and x["url"] not in {c["url"] for c in chosen} and not set(x["anchors"]) & {a for c in chosen for a in c["anchors"]}:
-                chosen.append(x)
+    rows, chosen, want, greedy = [], [], set(), set()
+    budget = 3  # pages without words
+    for src in range(120):
+        items = [{"tgt": k, "url": f"u{rng.randrange(6)}", "role": rng.choice(["parent", "sibling", "other", "other"]), "score": rng.random(), "anchors": rng.sample("abcdefgh", rng.randrange(1, 3))} for k in range(8)]
+        rows += [(src, x["tgt"], n, x["score"], (x["url"],), (0,), "", [(a.upper(), 0, 1, "exact") for a in x["anchors"]], "body", [], x["role"]) for n, x in enumerate(items, 1)]
+        mine = rng.sample(items, rng.randrange(0, 4))
+        chosen += [(src, x["tgt"], n) for n, x in enumerate(mine, 1)]
         for role in ("parent", "sibling"):
-            assert enforce_roles(items, chosen, budget, role) == chosen
+            mine = with_roles(items, mine, budget, role)
+        want |= {(src, n, x["tgt"]) for n, x in enumerate(mine, 1)}
+        best = []
+        for x in sorted(items, key=lambda x: -x["score"]):
+            if len(best) < budget and x["url"] not in {c["url"] for c in best} and not set(x["anchors"]) & {a for c in best for a in c["anchors"]}:
+                best.append(x)
+        greedy |= {(src, n, x["tgt"]) for n, x in enumerate(best, 1)}
+    pairs = spark.createDataFrame(rows, "src long, tgt long, rank int, score double, t struct<url:string>, s struct<n_words:int>, reason string, anchors array<struct<text:string,start:int,end:int,variant:string>>, placement string, risk_flags array<string>, role string")
+    flat = lambda df: {(r["src"], r["place"], r["tgt"]) for r in df.collect()}
+    assert flat(enforce_roles(pairs, spark.createDataFrame(chosen, "src long, tgt long, place int"), settings())) == want
+    links = greedy_links(pairs, settings())
+    assert flat(links) == greedy and flat(enforce_roles(pairs, links, settings())) == greedy
+
+
+def test_history_of_a_user(spark, tmp_path):
+    kind = "id long, user_id long, domain_id long, source_excerpt string, inserted_records array<struct<term:string,url:string,priority:boolean,context:string>>, created_at timestamp"
+    rows = [(1, 7, 1, "x" * 3000, [("a", "/a", True, "c"), ("b", "/b", False, "c")], datetime(2024, 5, 1, 8)), (2, 8, None, "short", None, datetime(2024, 5, 2, 9)), (3, 7, 9, None, [], datetime(2024, 5, 3, 10))]
+    path = str(tmp_path / "generations")
+    for row in rows:
+        append_generation(spark.createDataFrame([row], kind), path)
+    domains = spark.createDataFrame([(1, "https://e.com")], "id long, base_url string")
+    kept = spark.read.parquet(path)
+    got = [(r["id"], r["base_url"], len(r["shown"] or ""), r["made"]) for r in history(kept, domains, 7).collect()]
+    assert got == [(3, None, 0, "May 3, 2024 10:00"), (1, "https://e.com", 240, "May 1, 2024 08:00")] and history(kept, domains).count() == 3
+    cut = kept.where("id = 1").first()["source_excerpt"]
+    assert len(cut) == 1001 and cut.endswith("…")
+    totals = kept.select("id", *generation_totals(F.col("inserted_records"))).orderBy("id").collect()
+    assert [tuple(r) for r in totals] == [(1, 2, 1, 1), (2, 0, 0, 0), (3, 0, 0, 0)]
+
+
+def test_uploaded_sitemaps(spark, tmp_path):
+    import gzip
+
+    body = "<urlset><url><loc>https://e.com/é</loc></url></urlset>"
+    (tmp_path / "a.xml").write_bytes(body.encode())
+    (tmp_path / "b.xml.gz").write_bytes(gzip.compress(body.encode()))
+    (tmp_path / "c.xml").write_bytes(body.encode("latin-1"))
+    (tmp_path / "d.xml.gz").write_bytes(b"no gzip")
+    files = read_uploads(spark, str(tmp_path))
+    got = sorted((r["id"].rsplit("/", 1)[1], r["url"]) for r in parse_sitemaps(files, "path", "xml").collect())
+    assert got == [(x, "https://e.com/é") for x in ("a.xml", "b.xml.gz", "c.xml")]
 
 
 def test_settings(tmp_path):
