@@ -203,6 +203,8 @@ COMMENT = re.compile(r"[^\s()][^()]*\((?=[^()]*\d)[^()]+\)\s?[:：]")
 TRAIL = re.compile(r"[^.!?。>›»]+(?:\s[>›»→]\s[^.!?。>›»]+)+")
 HOST = re.compile(r"(?<![A-Za-z0-9.-])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[a-z]{2,}(?![A-Za-z0-9])")
 PROPER = re.compile(r"(?<![A-Za-z])[A-Z][A-Za-z'’-]+")
+#: What every host name holds; most texts don't.
+DOT = re.compile(r"[A-Za-z0-9-]\.[a-z]{2}")
 OUT = 9
 
 
@@ -230,7 +232,8 @@ def evidence(found: list[Block]) -> list[int]:
     counts 1 and so never decides alone."""
     at = headline_of(found)
     kinds = [kind_of(b) for b in found]
-    plain = [len(b.text) if b.linked < 0.5 and not any(e[1] in NOISE for e in b.path) else 0 for b in found]
+    names = [{e[1] for e in b.path} for b in found]
+    plain = [len(b.text) if b.linked < 0.5 and NOISE.isdisjoint(x) else 0 for b, x in zip(found, names)]
     depth, home = 0, 0
     if at is not None:
         plain[at] = 0
@@ -251,9 +254,9 @@ def evidence(found: list[Block]) -> list[int]:
             continue
         below = b.path[depth:]
         n = 0
-        if any(e[1] in NOISE for e in below):
+        if not NOISE.isdisjoint(names[k]) and any(e[1] in NOISE for e in below):
             n += 2
-        if any(e[1] in ASIDE for e in below) and k != at:
+        if k != at and not ASIDE.isdisjoint(names[k]) and any(e[1] in ASIDE for e in below):
             n += 1
         if any(e[2] for e in below):
             n += 1
@@ -265,7 +268,7 @@ def evidence(found: list[Block]) -> list[int]:
             n += 2
         if COMMENT.match(b.text):
             n += 2
-        if HOST.search(b.text):
+        if DOT.search(b.text) and HOST.search(b.text):
             n += 1
         if kinds[k] == "paragraph" and at is not None and 0 < abs(k - at) <= 2 and short_line(b.text) and any(c.isdigit() for c in b.text):
             n += 1
@@ -289,11 +292,11 @@ def line_key(text: str) -> str:
     return KEY.sub("", text.lower())
 
 
-def matched(found: list[Block], text: str) -> list[tuple[int, str, int | None]]:
-    """The non-blank lines of a text (from 1), each with the block that shows it, if there is one."""
+def matched(found: list[Block], text: str, keys: list[str] | None = None) -> list[tuple[int, str, int | None]]:
+    """The non-blank lines of a text (from 1), each with the block that shows it, if there is one; ``keys`` are the blocks' line keys."""
     places: dict[str, list[int]] = defaultdict(list)
-    for k, b in enumerate(found):
-        places[line_key(b.text)].append(k)
+    for k, key in enumerate(keys if keys is not None else [line_key(b.text) for b in found]):
+        places[key].append(k)
     out = []
     for n, line in enumerate(text.split("\n"), 1):
         if line.strip():
@@ -302,16 +305,20 @@ def matched(found: list[Block], text: str) -> list[tuple[int, str, int | None]]:
     return out
 
 
+def _hosts_alike(text: str) -> str:
+    return HOST.sub("\u0001", text) if DOT.search(text) else text
+
+
 def plain_line(line: str) -> str:
     """A line with host names and figures made alike."""
-    return re.sub(r"\d+", "0", HOST.sub("\u0001", line))
+    return re.sub(r"\d+", "0", _hosts_alike(line))
 
 
 def repeat_key(b: Block, kind: str) -> str:
     """A block's text with hosts made alike; outside lists and tables, whose figures are what they tell,
     with figures made alike too, and in short lines without an end mark the names."""
     if kind in ("item", "cell"):
-        return SPACES.sub(" ", HOST.sub("\u0001", b.text).lower())
+        return SPACES.sub(" ", _hosts_alike(b.text).lower())
     text = plain_line(b.text)
     if kind == "paragraph" and short_line(b.text):
         text = PROPER.sub("\u0002", text)
@@ -410,13 +417,14 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shown = blocks(source) if source and source.strip() else []
             against, at = evidence(shown), headline_of(shown)
             # a page without headline stands for itself
-            head = _hash(line_key(shown[at].text)) if at is not None else doc
-            found = matched(shown, text)
-            words = sorted({w for _, line, _ in found for w in WORD.findall(line) if NAME.fullmatch(w)}) if source else None
+            own = [line_key(b.text) for b in shown]
+            head = _hash(own[at]) if at is not None else doc
+            found = matched(shown, text, own)
+            words = sorted(filter(NAME.fullmatch, set().union(*(WORD.findall(line) for _, line, _ in found)))) if source else None
             facts = []
             for k, b in enumerate(shown):
                 like = repeat_key(b, kind_of(b))
-                facts.append((k, _hash(line_key(b.text)), _hash(like), against[k] if k != at else min(against[k], 0), None, b.tag in HEADINGS[1:]))
+                facts.append((k, _hash(own[k]), _hash(like), against[k] if k != at else min(against[k], 0), None, b.tag in HEADINGS[1:]))
             for n, line, k in found:
                 rows.append((doc, site, head, n, *(facts[k] if k is not None else (None, _hash(line_key(line)), None, None, line, False)), words))
                 words = None
