@@ -90,6 +90,26 @@ def test_blocks_of_any_size_give_the_same_pairs(spark):
     assert len(want) == 90 * 12
 
 
+def test_blocks_copy_no_target_and_need_a_task_a_block(spark):
+    p = ready(frame(spark, [page(f"/p{k}", f"oak elm {k % 7}", "oak elm ash " * (k % 5 + 1), lang=["en", "de", None][k % 3]) for k in range(90)]))
+    made = best_pairs(p, p, 5, source_block=7, target_block=10)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "Window" not in plan and made.rdd.getNumPartitions() == 13
+
+
+def test_bounds_pass_over_no_target(spark):
+    """Against all pairs (``k`` beyond the corpus), by each score and with and without gates."""
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(60)]
+    word = lambda: words[min(int(rng.expovariate(0.15)), 59)]
+    rows = [page(f"/p{k}", " ".join(word() for _ in range(3)), " ".join(word() for _ in range(rng.randrange(0, 60))), tags=rng.sample(words, 2), lang=rng.choice(["en", "en", "de", None]), type=rng.choice(["review", "product", "category"]), noindex=k % 9 == 0) for k in range(120)]
+    p = ready(frame(spark, rows))
+    for by, floor, digits in (("recall", 0.05, 9), ("title_bm25", 0.0, 6), ("body_bm25", 0.0, 6)):
+        for gated in (True, False):
+            read = lambda k, **sizes: sorted((r["src"], r["rank"], r["tgt"], round(r["recall"], 9), r["first_pos"]) for r in best_pairs(p, p, k, by, floor, digits, gated, **sizes).collect() if r["rank"] <= 4)  # noqa: B023, E731
+            assert read(4, target_block=30) == read(200), (by, gated)
+
+
 def test_dry_run_row(spark):
     rows = [page("/x/one", "Bike Lamp hints", "A Bike Lamp is what riders of dark roads want; the Bike Lamp needs care.", tags=["lamp"]),
             page("/x/two", "Bike Lamp", "Test of the Bike Lamp.", tags=["lamp"], type="review", meta={"is_pillar": True, "authority_score": 0.7})]
