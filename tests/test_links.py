@@ -110,6 +110,17 @@ def test_bounds_pass_over_no_target(spark):
             assert read(4, target_block=30) == read(200), (by, gated)
 
 
+def test_phrases_are_found_where_pairs_are_scored(spark):
+    text = "Öl und Wool Scarves: the Hill Mill made wool scarves."
+    rows = [page("/s", "Start", text, meta={"entities": [{"name": "Hill Mill", "type": "generic"}]}), page("/t", "Wool Scarves", "Wool Scarves of the Hill Mill", meta={"entities": [{"name": "hill mill", "type": "generic"}]}), page("/none", "Iron Pans", "made of iron")]
+    p = ready(frame(spark, rows))
+    ids = {r["url"][len(HOME) :]: r["page_id"] for r in p.select("url", "page_id").collect()}
+    got = best_pairs(p, p, 9, spans=True, target_block=2).where(F.col("src") == ids["/s"]).collect()
+    assert [r["tgt"] for r in got] == [ids["/t"]] and got[0]["length"] == len(text)
+    hits = {(h["text"], h["start"], h["end"], h["variant"]) for h in got[0]["hits"]}
+    assert hits == {("Wool Scarves", 7, 19, "exact"), ("Wool Scarves", 7, 19, "partial"), ("Hill Mill", 25, 34, "generic")}
+
+
 def test_dry_run_row(spark):
     rows = [page("/x/one", "Bike Lamp hints", "A Bike Lamp is what riders of dark roads want; the Bike Lamp needs care.", tags=["lamp"]),
             page("/x/two", "Bike Lamp", "Test of the Bike Lamp.", tags=["lamp"], type="review", meta={"is_pillar": True, "authority_score": 0.7})]
