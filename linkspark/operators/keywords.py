@@ -59,29 +59,37 @@ def _folded(x: Column) -> Column:
     return F.upper(F.translate(x, "\u0130\u212a\u212b\u1e9e\u03f4\u2126", "ikåßθω"))
 
 
+def term_heads(slugs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Terms with the ``head`` by which they meet texts: (scope, slug, url, head) of those with an ASCII word, the one
+    that fewest terms of the scope have, and (scope, slug, url, reach, head) of the others, their first ``reach`` characters."""
+    term = X.collapse(F.col("slug"))
+    reach = F.coalesce(*[F.when(F.length(term) >= n, n) for n in REACH])
+    own = F.array_distinct(F.transform(F.regexp_extract_all(term, F.lit(ASCII_WORD), 1), _folded))
+    named = slugs.select("scope", "slug", "url", F.explode(own).alias("head")).withColumn("n", F.count("*").over(Window.partitionBy("scope", "head")))
+    named = named.groupBy("scope", "slug", "url").agg(F.min(F.struct("n", -F.length("head"), "head"))["head"].alias("head"))
+    other = slugs.where(F.size(own) == 0).select("scope", "slug", "url", reach.alias("reach"), _folded(F.substring(term, F.lit(1), reach)).alias("head")).where("head <> ''")
+    return named, other
+
+
 def matching_slugs(docs: DataFrame, slugs: DataFrame) -> DataFrame:
     """(id, slug, url) of the dictionary terms that a document's text holds.
 
-    ``docs(id, scope, text)`` and ``slugs(scope, slug, url)`` meet by scope and the head of the
+    ``docs(id, scope, text)`` and ``slugs(scope, slug, url)`` meet by scope and one ASCII word of the
     term, then the whole term is looked for as a bounded phrase.  Bounds are ASCII word characters
-    only: the leading ASCII word of a term is a whole ASCII word of any text that holds it, whatever
-    letters touch it.  Other terms may start anywhere, and meet texts by their first characters.  A
-    dictionary of any size is thus never paired with every text."""
+    only: each ASCII word of a term is a whole ASCII word of any text that holds it, whatever
+    letters touch it, so the word that fewest of the scope's terms have will do.  Terms without one may start
+    anywhere, and meet texts by their first characters.  A dictionary of any size is thus never paired with every text."""
     term = X.collapse(F.col("slug"))
-    reach = F.coalesce(*[F.when(F.length(term) >= n, n) for n in REACH])
-    word = F.regexp_extract(term, "^" + ASCII_WORD, 1)
-    terms = slugs.select("scope", "slug", "url", F.when(word == "", reach).alias("reach"), _folded(F.when(word == "", F.substring(term, F.lit(1), reach)).otherwise(word)).alias("head")).where("head <> ''")
+    named, other = term_heads(slugs)
     words = docs.select("id", "scope", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(ASCII_WORD), 1), _folded))).alias("head"))
     # only the lengths that a scope's terms have are cut out of its texts
-    reaches = terms.where("reach is not null").groupBy("scope").agg(F.collect_set("reach").alias("reaches"))
+    reaches = other.groupBy("scope").agg(F.collect_set("reach").alias("reaches"))
     starts = F.flatten(F.array(*[F.when(F.array_contains("reaches", n), F.regexp_extract_all("text", F.lit(rf"(?isu)(?=([^a-z0-9_\s].{{{n - 1}}}))"), 1)).otherwise(F.array().cast("array<string>")) for n in REACH]))
     places = docs.where("text is not null").join(reaches, "scope").select("id", "scope", F.explode(F.array_distinct(F.transform(starts, _folded))).alias("head"))
-    met = words.unionByName(places).join(terms, ["scope", "head"]).select("id", "slug", "url")
-    return met.join(docs.select("id", "text"), "id").where(F.contains(F.lower("text"), F.lower(X.collapse(F.col("slug"))))).where(_holds(F.col("text"), F.col("slug"))).select("id", "slug", "url").distinct()
-
-
-def _holds(text: Column, term: Column) -> Column:
-    return F.regexp_like(text, X.term_pattern(X.collapse(term)))
+    looks = lambda terms: terms.select("scope", "head", "slug", "url", F.lower(term).alias("low"), X.term_pattern(term).alias("pattern"))
+    met = words.unionByName(places).join(looks(named).unionByName(looks(other)), ["scope", "head"]).select("id", "slug", "url", "low", "pattern")
+    held = docs.where("text is not null").select("id", "text", F.lower("text").alias("in_lower"))
+    return met.join(held, "id").where(F.contains("in_lower", "low") & F.regexp_like("text", "pattern")).select("id", "slug", "url").distinct()
 
 
 def link_paragraphs(docs: DataFrame, terms: DataFrame, max_links: int = 10) -> DataFrame:
