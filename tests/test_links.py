@@ -267,6 +267,18 @@ def test_matching_slugs_in_any_script(spark):
     assert got == want and {(1, "spark"), (1, "北京"), (1, "京"), (2, "→"), (2, "ve"), (7, "กรุงเทพ"), (7, "kilo")} <= got
 
 
+def test_titles_alone(spark):
+    names = ["the red lamp", "the lamp", "red red lamp of the north", "a lamp", "the", "", "north star", "the red lamp", "blue star of the north", "lamp lamp the"]
+    rows = [page(f"/{n}", names[n * 7 % len(names)] + (f" x{n % 13}" if n % 3 else ""), f"text the {n}", noindex=n % 9 == 0) for n in range(90)]
+    p = ready(frame(spark, rows))
+    for gated in (False, True):
+        read = lambda **more: sorted((r["src"], r["rank"], r["tgt"], round(r["title_bm25"], 6)) for r in best_pairs(p, p, 4, "title_bm25", 0.0, 6, gated, **more).collect())  # noqa: B023, E731
+        want = read()
+        assert len(want) > 200 and read(alone=True) == want == read(alone=True, source_block=17, target_block=11)
+    with pytest.raises(ValueError):
+        best_pairs(p, p, 4, alone=True)
+
+
 def test_terms_meet_texts_by_their_rarest_word(spark):
     slugs = spark.createDataFrame([(1, f"The lamp of  row{n}", "/") for n in range(50)] + [(1, "the lamp", "/"), (2, "the", "/"), (1, "灯 the x", "/"), (1, "灯台", "/")], "scope int, slug string, url string")
     named, other = K.term_heads(slugs)
