@@ -87,9 +87,11 @@ def matching_slugs(docs: DataFrame, slugs: DataFrame) -> DataFrame:
     starts = F.flatten(F.array(*[F.when(F.array_contains("reaches", n), F.regexp_extract_all("text", F.lit(rf"(?isu)(?=([^a-z0-9_\s].{{{n - 1}}}))"), 1)).otherwise(F.array().cast("array<string>")) for n in REACH]))
     places = docs.where("text is not null").join(reaches, "scope").select("id", "scope", F.explode(F.array_distinct(F.transform(starts, _folded))).alias("head"))
     looks = lambda terms: terms.select("scope", "head", "slug", "url", F.lower(term).alias("low"), X.term_pattern(term).alias("pattern"))
-    met = words.unionByName(places).join(looks(named).unionByName(looks(other)), ["scope", "head"]).select("id", "slug", "url", "low", "pattern")
-    held = docs.where("text is not null").select("id", "text", F.lower("text").alias("in_lower"))
-    return met.join(held, "id").where(F.contains("in_lower", "low") & F.regexp_like("text", "pattern")).select("id", "slug", "url").distinct()
+    # scope and head meet as one short hash: what it lets pass besides fails the exact check, as the scope is compared there
+    key = F.hash("scope", "head").alias("key")
+    met = words.unionByName(places).select("id", key).join(looks(named).unionByName(looks(other)).withColumn("key", key), "key").select("id", F.col("scope").alias("of"), "slug", "url", "low", "pattern")
+    held = docs.where("text is not null").select("id", "scope", "text").repartition("id").withColumn("in_lower", F.lower("text"))
+    return met.join(held, "id").where((F.col("scope") == F.col("of")) & F.contains("in_lower", "low") & F.regexp_like("text", "pattern")).select("id", "slug", "url").distinct()
 
 
 def link_paragraphs(docs: DataFrame, terms: DataFrame, max_links: int = 10) -> DataFrame:

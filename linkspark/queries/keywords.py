@@ -91,13 +91,15 @@ def _docs(spark, sf) -> DataFrame:
     return table(spark, sf, "link_generation").select("id", F.coalesce("domain_id", F.lit(-1)).alias("scope"), F.coalesce("source_excerpt", F.lit("")).alias("text"), F.col("max_links").cast("int").alias("max_links"))
 
 
-def _slugs(spark, sf) -> DataFrame:
+def _slugs(spark, sf, shared: bool = True) -> DataFrame:
+    """Slugs and page titles by site; ``shared`` adds those of all sites as scope -1."""
     links = table(spark, sf, "site_link")
     own = L.slug_map(links, ["domain_id"]).withColumnRenamed("domain_id", "scope")
-    every = own.unionByName(L.slug_map(links).withColumn("scope", F.lit(-1).cast("long")))
+    every = own.unionByName(L.slug_map(links).withColumn("scope", F.lit(-1).cast("long"))) if shared else own
     # page titles up to their colon, which texts do hold; scope -1 is for texts without a site
     names = table(spark, sf, "page").select("domain_id", X.strip(F.regexp_extract("title", "^[^:：]*", 0)).alias("slug"), "url").where("slug <> '' and url is not null")
-    return every.unionByName(names.select(F.explode(F.array("domain_id", F.lit(-1).cast("long"))).alias("scope"), "slug", "url").groupBy("scope", "slug").agg(F.min("url").alias("url")))
+    scope = F.explode(F.array("domain_id", F.lit(-1).cast("long"))) if shared else F.col("domain_id")
+    return every.unionByName(names.select(scope.alias("scope"), "slug", "url").groupBy("scope", "slug").agg(F.min("url").alias("url")))
 
 
 def _terms(spark, sf) -> DataFrame:
@@ -123,7 +125,7 @@ def plain_text_links(spark, sf):
 def html_keyword_links(spark, sf):
     """Pages' html with links for their site's slugs that occur in their text."""
     docs = table(spark, sf, "page").select(F.col("page_id").alias("id"), F.col("domain_id").alias("scope"), F.coalesce("text", F.lit("")).alias("text"), "html")
-    terms = K.term_dictionary(spark.createDataFrame([], "id long, pos int, term string, url string"), K.matching_slugs(docs.drop("html"), _slugs(spark, sf)))
+    terms = K.term_dictionary(spark.createDataFrame([], "id long, pos int, term string, url string"), K.matching_slugs(docs.drop("html"), _slugs(spark, sf, False)))
     lists = terms.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "key", "term", "url", "priority"))).alias("terms"))
     made = docs.join(lists, "id", "left").select("id", insert_links_udf("html", "terms", F.lit(10)).alias("r"))
     return made.select(F.col("id").alias("page_id"), "r.html", F.size("r.inserted").cast("long").alias("n"))
