@@ -267,6 +267,13 @@ def test_matching_slugs_in_any_script(spark):
     assert got == want and {(1, "spark"), (1, "北京"), (1, "京"), (2, "→"), (2, "ve"), (7, "กรุงเทพ"), (7, "kilo")} <= got
 
 
+def test_evaluated_pairs_keep_what_choice_reads(spark):
+    corpus = frame(spark, [page(f"/p{k}", "Alpine Tent Guide", "An alpine tent guide of tents") for k in range(3)])
+    _, evaluated, _, _ = batch(corpus, None, settings(score_floor=0.0))
+    kept = {f.name: f.dataType.names if f.name in "st" else None for f in evaluated.schema}
+    assert kept["s"] == ["n_words"] and kept["t"] == ["url"] and not {"f_semantic", "first_entity"} & set(kept)
+
+
 def test_titles_alone(spark):
     names = ["the red lamp", "the lamp", "red red lamp of the north", "a lamp", "the", "", "north star", "the red lamp", "blue star of the north", "lamp lamp the"]
     rows = [page(f"/{n}", names[n * 7 % len(names)] + (f" x{n % 13}" if n % 3 else ""), f"text the {n}", noindex=n % 9 == 0) for n in range(90)]
