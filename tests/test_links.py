@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from linkspark.functions.html_links import insert_links, strip_links
 from linkspark.operators import keywords as K
+from linkspark.operators import relevance as R
 from linkspark.operators.corpus import PAGE
 from linkspark.operators.links import append_generation, generation_totals, history, import_links, search_links, slug_map, upsert_links
 from linkspark.operators.selection import enforce_roles, greedy_links
 from linkspark.plans.config import overlay, settings
 from linkspark.operators.blocks import best_pairs
-from linkspark.plans.suggest import batch, dry_run, ready, suggest_links
+from linkspark.plans.suggest import batch, dry_run, ready, ready_field, suggest_links
 from linkspark.sources.databases import jdbc_options
 from linkspark.sources.pages import read_pages, suggestion_tsv
 from linkspark.sources.sitemaps import decoded, fetch_sitemaps, parse_sitemaps, read_uploads, sitemap_source
@@ -286,6 +287,51 @@ def test_titles_alone(spark):
         best_pairs(p, p, 4, alone=True)
 
 
+def _mixed(n):
+    """Pages of several languages, types, tags and entities (stated, repeated, none), of which some are alike."""
+    rng, words = random.Random(11), "lamp stone north river mill tent guide best plate old red map".split()
+    for k in range(n):
+        named = [{"name": rng.choice(["Olm", "olm", "Brenn", "Kar Del"]), "type": rng.choice(["brand", "product", None])} for _ in range(rng.choice([0, 2, 3]))]
+        yield page(
+            f"/{k}", " ".join(rng.choices(words, k=rng.choice([0, 2, 4]))), " ".join(rng.choices(words + ["Olm", "Brenn", "the", "of"], k=rng.choice([0, 5, 30]))), lang=rng.choice(["en", "en", "de", "it", None]),
+            tags=rng.sample(["a", "B", "b", "c", "d"], rng.choice([0, 1, 3])), type=rng.choice(["blog", "review", "product", "category"]), noindex=k % 11 == 0,
+            meta={"entities": named or None, "taxonomy": rng.choice([[], ["r"], ["r", "s"]]), "outbound_links": [HOME + f"/{k + 1}"], "inlinks": float(k)})
+
+
+def test_attributes_come_with_pairs_without_a_join(spark):
+    p = ready(frame(spark, list(_mixed(70))))
+    got = R.candidates(p, p, settings(max_candidates=9))
+    want = R.with_pages(best_pairs(p, p, 9), p, p)
+    rows = lambda df: sorted(map(str, df.select("src", "rank", "tgt", "recall", "s", "t", "first_entity").collect()))
+    assert rows(got) == rows(want) and 300 < len(rows(got)) and any("first_entity=Row" in x for x in rows(got))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    some = R.candidates(p, p, settings(max_candidates=9), True, ["url"], ["taxonomy"], False)
+    assert some.schema["s"].dataType.names == ["url"] and some.schema["t"].dataType.names == ["taxonomy"] and "first_entity" not in some.columns
+
+
+def test_lists_that_cannot_reach_are_passed_over(spark):
+    p = ready(frame(spark, list(_mixed(260))))
+    for gated in (False, True):
+        every = best_pairs(p, p, 400, gated=gated).select("src", "tgt", F.round("recall", 9).alias("recall")).collect()
+        of = {}
+        for r in every:
+            of.setdefault(r["src"], []).append((-r["recall"], r["tgt"]))
+        want = sorted((k, n, t) for k, x in of.items() for n, (_, t) in enumerate(sorted(x)[:3], 1))
+        for size in (300, 90, 40):
+            got = best_pairs(p, p, 3, gated=gated, source_block=100, target_block=size)
+            assert sorted((r["src"], r["rank"], r["tgt"]) for r in got.collect()) == want
+    assert len(want) > 500
+
+
+def test_texts_alone(spark):
+    p = ready(frame(spark, list(_mixed(120))))
+    read = lambda **more: sorted((r["src"], r["rank"], r["tgt"], round(r["body_bm25"], 6)) for r in best_pairs(p, p, 4, "body_bm25", 0.0, 6, False, **more).collect())
+    want = read()
+    assert len(want) > 200 and read(alone=True) == want == read(alone=True, source_block=17, target_block=11)
+    assert all(r["title_codes"] == [] and r["body_codes"] for r in ready_field(frame(spark, [page("/x", "Lamp", "a lamp")]), "body").collect())
+
+
 def test_terms_meet_texts_by_their_rarest_word(spark):
     slugs = spark.createDataFrame([(1, f"The lamp of  row{n}", "/") for n in range(50)] + [(1, "the lamp", "/"), (2, "the", "/"), (1, "灯 the x", "/"), (1, "灯台", "/")], "scope int, slug string, url string")
     named, other = K.term_heads(slugs)
