@@ -3,10 +3,13 @@
 import random
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from linkspark.functions.html_links import insert_links, strip_links
+from linkspark.operators import blocks as B
 from linkspark.operators import keywords as K
 from linkspark.operators import relevance as R
 from linkspark.operators.corpus import PAGE
@@ -332,6 +335,31 @@ def test_texts_alone(spark):
     assert all(r["title_codes"] == [] and r["body_codes"] for r in ready_field(frame(spark, [page("/x", "Lamp", "a lamp")]), "body").collect())
 
 
+def test_chunks_of_texts_that_cannot_reach_are_passed_over(monkeypatch):
+    rng, n = np.random.default_rng(5), 1200
+    body = [rng.integers(60 * (k % 6), 60 * (k % 6) + 60, 40) * (k % 50 > 0) + (k % 50 == 0) * rng.integers(0, 500, 40) for k in range(n)]  # six topics, some texts of all
+    none, zero = [[]] * n, np.zeros(n, np.int64)
+    rows = pa.table({
+        "page_id": np.arange(n), "title_codes": pa.array(none, pa.list_(pa.int64())), "body_codes": pa.array(body, pa.list_(pa.int64())), **{f"{f}_codes": pa.array(none, pa.list_(pa.int64())) for f in ("tag", "entity")},
+        "entity_weights": pa.array(none, pa.list_(pa.float64())), **{c: zero for c in ("lang_code", "canonical_code", "url_code")}, **{c: zero == 1 for c in ("is_guide", "is_product", "is_review")}, "open": zero == 0})
+    code, df = np.unique(np.concatenate([np.unique(x) for x in body]), return_counts=True)
+    facts = {"n": n, "title": 1.0, "body": 40.0, "by": "body_bm25", "floor": 0.0, "digits": 6, "gated": False, "same": True, "k": 5, "alone": True}
+    multiplied, fill = [], B._Block._fill
+    monkeypatch.setattr(B, "CHUNK", 16)
+    monkeypatch.setattr(B._Block, "_fill", lambda self, out, asked, wanted: (multiplied.append(sum(wanted[:, c].sum() * (x[1] - x[0]) for c, x in enumerate(self.chunks))), fill(self, out, asked, wanted)))
+    sources = B._Sources(rows, facts)
+    for part in (rows.slice(0, 900), rows.slice(900)):
+        sources.meet(B._index(part, pa.table({"code": code, "df": df}), facts))
+    got = {}
+    for r in sources.table().to_pylist():
+        got.setdefault(r["src"], []).append(r["tgt"])
+    assert sum(multiplied) < 0.6 * n * n
+    idf, tf = np.log(1 + (n - df + 0.5) / (df + 0.5)), np.stack([(np.asarray(x)[:, None] == code).sum(0) for x in body])
+    all_scores = np.round(tf @ (idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * np.array([len(x) for x in body]) / 40.0)[:, None])).T, 6)
+    np.fill_diagonal(all_scores, 0.0)
+    assert got == {k: [int(t) for t in np.lexsort((np.arange(n), -x))[:5] if x[t] > 0] for k, x in enumerate(all_scores)}
+
+
 def test_terms_meet_texts_by_their_rarest_word(spark):
     slugs = spark.createDataFrame([(1, f"The lamp of  row{n}", "/") for n in range(50)] + [(1, "the lamp", "/"), (2, "the", "/"), (1, "灯 the x", "/"), (1, "灯台", "/")], "scope int, slug string, url string")
     named, other = K.term_heads(slugs)
