@@ -360,6 +360,22 @@ def test_chunks_of_texts_that_cannot_reach_are_passed_over(monkeypatch):
     assert got == {k: [int(t) for t in np.lexsort((np.arange(n), -x))[:5] if x[t] > 0] for k, x in enumerate(all_scores)}
 
 
+def test_blocks_scored_together_give_the_same_pairs(spark):
+    p = ready(frame(spark, list(_mixed(240))))
+    words = p.select(F.explode(F.array_union("title_codes", "body_codes")).alias("code")).groupBy("code").agg(F.count("*").alias("df")).toArrow()
+    rows = p.select(*B.FACTS, "is_review", "is_guide", "is_product", "open").toArrow()
+    facts = {"n": 240, "title": 2.0, "body": 12.0, "by": "recall", "floor": 0.05, "digits": 9, "gated": True, "same": True, "k": 6, "alone": False}
+    parts = [B._index(rows.filter(pa.array(np.arange(240) % 5 == k)), words, facts) for k in range(5)]
+    found = []
+    for together in (1, 2, 3, 5):
+        sources = B._Sources(rows, facts)
+        for k in range(0, 5, together):
+            sources.meet(B._joined(parts[k : k + together]))
+        table = sources.table()
+        found.append([table.select(["src", "tgt", "rank", "first_pos"]).to_pylist(), np.stack([table.column(c).to_numpy() for c in ("title_bm25", "body_bm25", "cosine", "entity", "tag", "recall")])])
+    assert len(found[0][0]) > 1000 and all(x[0] == found[0][0] and np.allclose(x[1], found[0][1], rtol=0, atol=1e-12) for x in found)
+
+
 def test_terms_meet_texts_by_their_rarest_word(spark):
     slugs = spark.createDataFrame([(1, f"The lamp of  row{n}", "/") for n in range(50)] + [(1, "the lamp", "/"), (2, "the", "/"), (1, "灯 the x", "/"), (1, "灯台", "/")], "scope int, slug string, url string")
     named, other = K.term_heads(slugs)
